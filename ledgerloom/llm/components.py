@@ -39,11 +39,14 @@ from ledgerloom.session import Scratch
 CORE_EDGES = 300_000
 LEAST_ROUNDS = 2
 LEAST_SHRINK = 0.95
+# The white space characters of Unicode besides the blank.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def tidy(c: Column) -> Column:
-    """Lower case, trimmed, white space collapsed to one blank."""
-    return F.lower(F.regexp_replace(F.regexp_replace(c, r"[\s\p{Z}]+", " "), r"^ | $", ""))
+    """Lower case, trimmed, white space collapsed to one blank; the regular expression runs only where blanks repeat."""
+    plain = F.trim(F.translate(c, BLANKS, " " * len(BLANKS)))
+    return F.lower(F.when(F.contains(plain, F.lit("  ")), F.regexp_replace(plain, " +", " ")).otherwise(plain))
 
 
 def _half(a: Column, b: Column) -> list[Column]:
