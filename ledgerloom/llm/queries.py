@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import components, packing, tokens
+from ledgerloom.llm import components, encoding, packing, tokens
 from ledgerloom.session import table
 
 
@@ -14,6 +14,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.match_groups(table(spark, sf_dir, "row_merges"), "company_normalized", "member_key", "target_key")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Garbled cells and headings of the extracted tables with their original text."""
+    return encoding.restore(table(spark, sf_dir, "extracted_tables"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return tokens.encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -32,7 +37,7 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p4_found": p4_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill}
+    return {"p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill}
 
 
 def oracle_sql() -> dict[str, str]:
