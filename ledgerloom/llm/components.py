@@ -149,7 +149,9 @@ def connected(edges: DataFrame, scratch: Scratch, core_edges: int = CORE_EDGES)
 def match_groups(pairs: DataFrame, scope: str, left: str, right: str, core_edges: int = CORE_EDGES) -> DataFrame:
     """One row per key in a valid pair: ``scope``, row_key, group_key (the group's smallest key by code points)."""
     scratch = Scratch(pairs.sparkSession, "components")
-    valid = pairs.select(F.col(scope).alias("scope"), tidy(F.col(left)).alias("l"), tidy(F.col(right)).alias("r")).where("l != '' and r != '' and l != r")
+    # Through explode, each key is tidied once: the optimizer copies a plain expression into the filter and every use.
+    once = F.explode(F.array(F.struct(tidy(F.col(left)).alias("l"), tidy(F.col(right)).alias("r")))).alias("p")
+    valid = pairs.select(F.col(scope).alias("scope"), once).select("scope", "p.*").where("l != '' and r != '' and l != r")
     for seed in range(8):
         row_id = lambda c: F.xxhash64(F.col("scope"), F.lit(seed), F.col(c))  # noqa: B023, E731
         named = valid.select("scope", "l", "r", row_id("l").alias("li"), row_id("r").alias("ri"))
