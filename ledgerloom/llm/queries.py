@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import components, encoding, packing, tokens
+from ledgerloom.llm import components, encoding, packing, residue, tokens
 from ledgerloom.session import table
 
 
@@ -36,8 +36,14 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes.agg(F.count("*").alias("n_containers"), F.sum("t").alias("n_tokens"), (1 - F.sum("t") / (F.count("*") * packing.CAPACITY)).alias("unused_share"), F.max("t").alias("fullest"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are, or hold, template residue, filler, error pages or script demands."""
+    documents = tokens.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return residue.find_residue(documents, "doc_id", "text").select("doc_id")
+
+
 def queries() -> dict:
-    return {"p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill}
+    return {"p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
