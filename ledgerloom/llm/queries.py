@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import components, encoding, packing, residue, tokens
+from ledgerloom.llm import components, encoding, labels, packing, residue, tokens
 from ledgerloom.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code of the reference list that each unconfirmed client label means, or UNMATCHED."""
+    open_ones = table(spark, sf_dir, "client_aliases").where(~F.coalesce(F.col("std_id").rlike(r"[^\s\p{Z}]"), F.lit(False)))
+    return labels.match_labels(open_ones, table(spark, sf_dir, "label_synonyms"), "alias_id", "client_label", "original_label", "hgb_code")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group of every row key linked directly or indirectly within its company."""
     return components.match_groups(table(spark, sf_dir, "row_merges"), "company_normalized", "member_key", "target_key")
@@ -43,7 +49,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
