@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import hierarchy, history, packed
+from ledgerloom.operators import hierarchy, history, packed, units
 from ledgerloom.session import Scratch, table
 
 UPDATE_SHARE = 0.9
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The amount of every fact in whole euro cents."""
+    return units.to_euro_cents(table(spark, sf_dir, "lagebericht_facts"), table(spark, sf_dir, "sheet_notes"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Root, depth, path and number of descendants of every code of the taxonomy."""
     h = hierarchy.build_hierarchy(table(spark, sf_dir, "hgb_taxonomy"), "hgb_code", "parent_code", "node_id")
@@ -38,7 +43,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p3_found": p3_found, "p6_found": p6_found, "p7_found": p7_found}
+    return {"p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p7_found": p7_found}
 
 
 def oracle_sql() -> dict[str, str]:
