@@ -176,7 +176,8 @@ class Trie:
         return found
 
 
-ASIDE = Trie([((w,), 0) for w in sorted(PREPOSITIONS | DECORATION) if len(w) > 4])
+# Longer words of the two lists above that may be misspelt without meaning anything else.
+ASIDE = Trie([((w,), 0) for w in ("gegenuber", "anlage", "anhang", "gesamt", "insgesamt", "netto", "brutto", "vorjahr", "position", "davon")])
 
 
 class Reference:
