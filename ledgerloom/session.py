@@ -7,6 +7,7 @@ the loss of any executor, can be counted from its footers, and is compressed.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -64,9 +65,11 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def rows_in(table: DataFrame) -> int:
-    """Row count of a written table, read from its footers."""
-    return table.count()
+def release_shuffles(spark: SparkSession) -> None:
+    """Let the cleaner delete shuffle files of finished steps now: it acts when the driver collects its garbage,
+    which an iterating driver with little garbage of its own may not do for half an hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
