@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.session import Scratch
+from ledgerloom.session import Scratch, release_shuffles
 
 CORE_EDGES = 300_000
 LEAST_ROUNDS = 2
@@ -165,9 +165,14 @@ def match_groups(pairs: DataFrame, scope: str, left: str, right: str, core_edges
     else:
         raise RuntimeError("no collision-free row id found")
     edges = scratch.write(named.select(*_half(F.col("li"), F.col("ri"))).distinct(), "edges0")
+    release_shuffles(pairs.sparkSession)
     labels = connected(edges, scratch, core_edges)
     scratch.drop("edges0")
+    release_shuffles(pairs.sparkSession)
     labelled = rows.join(labels.withColumnRenamed("id", "lid"), F.col("id") == F.col("lid"), "left").select("scope", "key", F.coalesce("root", "id").alias("root"))
     labelled = scratch.write(labelled, "labelled")
+    # The rows and labels are in the written table now; what led to them need not stay on disk.
+    scratch.drop(f"rows{seed}")
+    release_shuffles(pairs.sparkSession)
     least = labelled.groupBy("root").agg(F.min("key").alias("group_key"))
     return labelled.join(least, "root").select(F.col("scope").alias(scope), F.col("key").alias("row_key"), "group_key")
