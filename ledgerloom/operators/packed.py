@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 # Word connectives accepted as candidates wherever they stand alone between pieces.
 CONNECTIVES = ("und", "sowie", "u", "oder", "bzw", "and", "or", "et", "ou", "plus")
 
-QUOTED = r"""(?:"(?:[^"]|"")*+"|'(?:[^']|'')*+'|„[^“”"]*+[“”"]|“[^”]*+”|«[^»]*+»)"""
+QUOTED = r"""(?:"(?:[^"]|"")*+"|'(?:[^']|'')*+'|„[^“”"]*+[“”"]|“[^”]*+”|«[^»]*+»|‚[^‘’]*+[‘’])"""
 ROUND = r"(?:\((?:[^()]|\([^()]*+\))*+\))"
 # Anything that is not a letter, digit, mark, blank, quote, bracket, dot, hyphen or underscore.
 MARK = r"""[^\p{L}\p{N}\p{M}  ._\-()\[\]{}"'„“”«»‚‘’]"""
@@ -45,7 +45,7 @@ SALTS = 16
 def unwrap(field: Column) -> Column:
     """Trim, and remove one list wrapper that encloses the whole field."""
     text = F.regexp_replace(field, BLANKS, "")
-    wrapped = text.rlike(r"(?s)^\[.*\]$") | text.rlike(r"(?s)^\{.*\}$")
+    wrapped = text.rlike(r"(?s)^\[[^\[\]]*\]\z") | text.rlike(r"(?s)^\{[^{}]*\}\z")
     return F.when(wrapped, F.substring(text, F.lit(2), F.length(text) - 2)).otherwise(text)
 
 
@@ -116,7 +116,7 @@ def split_packed(df: DataFrame, key: str, source: str, field: str, least: float
         return strip(
             F.when(t.rlike(r'(?s)^"(?:[^"]|"")*"$'), F.replace(inner(t), F.lit('""'), F.lit('"')))
             .when(t.rlike(r"(?s)^'(?:[^']|'')*'$"), F.replace(inner(t), F.lit("''"), F.lit("'")))
-            .when(t.rlike(r'(?s)^(?:„[^“”"]*[“”"]|“[^”]*”|«[^»]*»)$'), inner(t))
+            .when(t.rlike(r'(?s)^(?:„[^“”"]*[“”"]|“[^”]*”|«[^»]*»|‚[^‘’]*[‘’])$'), inner(t))
             .otherwise(t)
         )
 
