@@ -58,6 +58,12 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def below(self, name: str) -> Scratch:
+        """A folder of its own inside this one."""
+        inner = object.__new__(Scratch)
+        inner.spark, inner.root = self.spark, f"{self.root}/{name}"
+        return inner
+
     def drop(self, name: str) -> None:
         """Delete a table that no later step reads."""
         jvm = self.spark.sparkContext._jvm
