@@ -155,24 +155,20 @@ def match_groups(pairs: DataFrame, scope: str, left: str, right: str, core_edges
     for seed in range(8):
         row_id = lambda c: F.xxhash64(F.col("scope"), F.lit(seed), F.col(c))  # noqa: B023, E731
         named = valid.select("scope", "l", "r", row_id("l").alias("li"), row_id("r").alias("ri"))
+        edges = scratch.write(named.select(*_half(F.col("li"), F.col("ri"))).distinct(), f"edges0-{seed}")
+        release_shuffles(pairs.sparkSession)
+        labels = connected(edges, scratch.below(f"seed{seed}"), core_edges)
+        release_shuffles(pairs.sparkSession)
+        # One grouping by id brings the keys and, without another shuffle of them, meets the labels.
         sides = named.select(F.explode(F.array(F.struct(F.col("li").alias("id"), "scope", F.col("l").alias("key")), F.struct(F.col("ri").alias("id"), "scope", F.col("r").alias("key")))).alias("s")).select("s.*")
-        rows = sides.groupBy("id", "scope", "key").agg(F.lit(1).alias("one")).drop("one")
-        rows = scratch.write(rows, f"rows{seed}")
+        rows = sides.groupBy("id").agg(F.min(F.struct("scope", "key")).alias("row"), F.max(F.struct("scope", "key")).alias("other"))
+        joined = rows.join(labels.withColumnRenamed("id", "lid"), F.col("id") == F.col("lid"), "left")
+        labelled = scratch.write(joined.select("row.*", F.coalesce("root", "id").alias("root"), (F.col("row") != F.col("other")).alias("met")), f"labelled{seed}")
+        release_shuffles(pairs.sparkSession)
         # 64-bit ids must be one to one on these rows; if two rows ever meet, another seed is taken.
-        if rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        if labelled.where("met").isEmpty():
             break
-        scratch.drop(f"rows{seed}")
     else:
         raise RuntimeError("no collision-free row id found")
-    edges = scratch.write(named.select(*_half(F.col("li"), F.col("ri"))).distinct(), "edges0")
-    release_shuffles(pairs.sparkSession)
-    labels = connected(edges, scratch, core_edges)
-    scratch.drop("edges0")
-    release_shuffles(pairs.sparkSession)
-    labelled = rows.join(labels.withColumnRenamed("id", "lid"), F.col("id") == F.col("lid"), "left").select("scope", "key", F.coalesce("root", "id").alias("root"))
-    labelled = scratch.write(labelled, "labelled")
-    # The rows and labels are in the written table now; what led to them need not stay on disk.
-    scratch.drop(f"rows{seed}")
-    release_shuffles(pairs.sparkSession)
     least = labelled.groupBy("root").agg(F.min("key").alias("group_key"))
     return labelled.join(least, "root").select(F.col("scope").alias(scope), F.col("key").alias("row_key"), "group_key")

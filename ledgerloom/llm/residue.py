@@ -68,7 +68,7 @@ ERRORS = {
     "refused": rf"{OWN}(?iu:zugriff verweigert|accès refusé(?: \(\d++\))?|access denied|forbidden|permission denied){END}|(?iu:sie besitzen nicht die nötigen rechte|you do(?: not|n't) have permission to (?:access|view))",
     "session": r"(?iu:(?:ihre|deine) sitzung ist abgelaufen|bitte melden sie sich (?:erneut|wieder) an|your session has (?:expired|timed out)|please (?:log|sign) in again|votre session a expiré|dass sie kein roboter sind|that you are (?:not a robot|human)|que vous n'êtes pas un robot)",
     "later": rf"{OWN}(?iu:bitte versuchen sie es später (?:erneut|noch einmal|wieder)|veuillez réessayer plus tard|(?:please )?try again later){END}",
-    "trace": r"Traceback \(most recent call last\)|(?m:^\s*+at [\w.$]++\([\w.$]++:\d++\))|(?m:^\s*+File \"[^\"\n]++\", line \d++)|\b(?:java|javax|org|com)\.[\w.]++(?:Exception|Error)\b|(?m:^(?:Key|Value|Type|Index|Name|Attribute|Runtime)Error: )|Warning: \w++\([^\n()]*+\): failed|Fatal error: |Uncaught (?:TypeError|ReferenceError|exception)|Segmentation fault",
+    "trace": r"Traceback \(most recent call last\)|(?m:^[ \t]*+at [\w.$]++\([\w.$]++:\d++\))|(?m:^[ \t]*+File \"[^\"\n]++\", line \d++)|\b(?:java|javax|org|com)\.[\w.]{1,120}?(?:Exception|Error)\b|(?m:^(?:Key|Value|Type|Index|Name|Attribute|Runtime)Error: )|Warning: \w++\([^\n()]*+\): failed|Fatal error: |Uncaught (?:TypeError|ReferenceError|exception)|Segmentation fault",
 }
 SCRIPTS = r"(?:java ?scripts?|js|skripte?n?|scripts?|scripting|aktiven? inhalte?n?|client-side scripts?|cookies)"
 DEMANDS = {
