@@ -23,6 +23,19 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select(F.col("code").alias("hgb_code"), "root_code", "depth", path.alias("path"), "n_descendants")
 
 
+def p3_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every ancestor of every code outside loops with its distance: the descendant lists."""
+    h = hierarchy.build_hierarchy(table(spark, sf_dir, "hgb_taxonomy"), "hgb_code", "parent_code", "node_id")
+    return hierarchy.descendant_pairs(h)
+
+
+def p2_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of unit spellings with estimated scale, agreement and offset."""
+    rows = units.prepared(table(spark, sf_dir, "lagebericht_facts"), table(spark, sf_dir, "sheet_notes"))
+    pairs, _ = units.scale_graph(Scratch(spark, "units").write(rows, "prepared"))
+    return pairs
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periods of names, seats, officers and consolidated companies.
 
@@ -43,7 +56,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p7_found": p7_found}
+    return {"p2_found": p2_found, "p2_scales": p2_scales, "p3_found": p3_found, "p3_descendants": p3_descendants, "p6_found": p6_found, "p7_found": p7_found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import labels, numbers, text
 from ledgerloom.operators import checks, mapping, segments, series, tables
 from ledgerloom.session import table
+from ledgerloom.sources import readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -599,3 +600,52 @@ def all_problems(spark, sf_dir):
     say = lambda cond, words: F.when(cond, words)
     p = F.array_compact(F.array(say(F.col("value").isNull(), "value missing"), say(F.col("fiscal_year").isNull(), "year missing"), say(F.trim(F.coalesce("company_normalized", F.lit(""))) == "", "company missing"), say(F.col("unit").isNull() & F.col("source_unit").isNull(), "unit missing")))
     return table(spark, sf_dir, "lagebericht_facts").select("fact_id", p.alias("p")).where(F.size("p") > 0).select("fact_id", F.array_join("p", ";").alias("problems"))
+
+
+_SLOTS = [("revenue", "STANDARD"), ("cost", "ECONOMY"), ("profit", "PROMO")]
+
+
+@query(f"""SELECT s.slot, p_partkey, CASE WHEN p_size IS NULL THEN 'no size' WHEN contains(lower(s.slot), 'revenue') AND p_size % 2 = 0 THEN 'wrong basis' ELSE 'ok' END AS verdict
+FROM part JOIN (VALUES {', '.join(f"('{a}', '{b}')" for a, b in _SLOTS)}) AS s(slot, word) ON contains(p_type, s.word)""")
+def v1_v7_assigned(spark, sf_dir):
+    """Verdict on every part assigned to a slot by a word of its type."""
+    slots = F.broadcast(spark.createDataFrame(_SLOTS, "slot string, word string"))
+    p = table(spark, sf_dir, "part").join(slots, F.contains("p_type", F.col("word")))
+    verdict = F.when(F.col("p_size").isNull(), "no size").when(F.contains(F.lower("slot"), F.lit("revenue")) & (F.col("p_size") % 2 == 0), "wrong basis").otherwise("ok")
+    return p.select("slot", "p_partkey", verdict.alias("verdict"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, i - 1 AS row_no, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, ['A. Segmente', coalesce(section, ''), 'Bruttoumsatz', source, 'B. Absatzmärkte', lang] AS l FROM documents))),
+k AS (SELECT *, CASE WHEN regexp_matches(lower(line), '(^|\s)(a|i)\.\s*segmente?([^a-z]|$)') THEN 'product' WHEN regexp_matches(lower(line), '(^|\s)(b|ii)\.\s*absatzm[aä]rkte([^a-z]|$)') THEN 'geography' END AS kind FROM l),
+s AS (SELECT *, last_value(kind IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY row_no ROWS UNBOUNDED PRECEDING) AS section FROM k)
+SELECT doc_id, row_no, line, section FROM s WHERE kind IS NULL AND section IS NOT NULL AND NOT regexp_matches(lower(line), '(brutto|netto)umsatz') AND trim(line, ' ') <> ''""")
+def segment_filter(spark, sf_dir):
+    """Lines below a segment or market heading, totals left out."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.array(F.lit("A. Segmente"), F.coalesce("section", F.lit("")), F.lit("Bruttoumsatz"), F.col("source"), F.lit("B. Absatzmärkte"), F.col("lang"))).alias("row_no", "line"))
+    return segments.section_rows(d, ["doc_id"], ["row_no"], "line").select("doc_id", "row_no", "line", "section")
+
+
+@query("""WITH x AS (SELECT doc_id, '<a href="/' || source || '">x</a> <a href="https://h.de/' || coalesce(section, 'n') || '#a">y</a><a href="http://o.com/">z</a>' AS html FROM documents WHERE source IS NOT NULL),
+l AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(html, '(?i)href\s*=\s*["'']([^"''#]+)', 1)) AS l FROM x)
+SELECT doc_id, CASE WHEN starts_with(l, '/') THEN 'https://h.de' || l ELSE l END AS link FROM l WHERE starts_with(l, '/') OR starts_with(l, 'https://h.de')""")
+def html_links(spark, sf_dir):
+    """Links of a page to its own host."""
+    d = table(spark, sf_dir, "documents").where("source is not null")
+    html = F.concat(F.lit('<a href="/'), F.col("source"), F.lit('">x</a> <a href="https://h.de/'), F.coalesce("section", F.lit("n")), F.lit('#a">y</a><a href="http://o.com/">z</a>'))
+    pages = d.select(F.concat(F.lit("https://h.de/"), F.col("doc_id")).alias("url"), html.alias("html"))
+    return readers.links(pages, "url", "html").select(F.regexp_extract("url", r"(\d+)$", 1).cast("bigint").alias("doc_id"), "link")
+
+
+@query("""SELECT company_normalized, table_type, count(*) AS n_tables, CAST(sum(len(rows)) AS BIGINT) AS n_rows, min(page_start) AS first_page, max(page_end) AS last_page FROM extracted_tables WHERE rows IS NOT NULL GROUP BY 1, 2""")
+def table_overview(spark, sf_dir):
+    """Tables, rows and pages per company and type."""
+    t = table(spark, sf_dir, "extracted_tables").where("rows is not null")
+    return t.groupBy("company_normalized", "table_type").agg(F.count("*").alias("n_tables"), F.sum(F.size("rows")).alias("n_rows"), F.min("page_start").alias("first_page"), F.max("page_end").alias("last_page"))
+
+
+@query(rf"""WITH {_CELLS}, n AS (SELECT *, regexp_full_match(text, '-?[0-9]{{1,3}}(\.[0-9]{{3}})*(,[0-9]+)?') AS num FROM cells),
+l AS (SELECT table_id, row_no, trim(coalesce(text, ''), ' ') AS label FROM cells WHERE col_no = 0), t AS (SELECT n.table_id, max(n.row_no) AS last FROM n JOIN l USING (table_id, row_no) WHERE label = '' AND col_no > 0 AND num GROUP BY 1)
+SELECT c.table_id, c.row_no, c.col_no, coalesce(c.row_no = t.last, false) AS is_total FROM cells c JOIN l USING (table_id, row_no) LEFT JOIN t ON t.table_id = c.table_id""")
+def styled_cells(spark, sf_dir):
+    """Grand-total rows of the sheets to be written."""
+    return sinks.styled_cells(_cells(spark, sf_dir)[1]).select("table_id", "row_no", "col_no", "is_total")
