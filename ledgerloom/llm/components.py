@@ -38,6 +38,7 @@ from ledgerloom.session import Scratch, release_shuffles
 
 CORE_EDGES = 300_000
 LEAST_ROUNDS = 2
+SLICES = 4
 LEAST_SHRINK = 0.95
 # The white space characters of Unicode besides the blank.
 BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -120,8 +121,7 @@ def connected(edges: DataFrame, scratch: Scratch, core_edges: int = CORE_EDGES)
         r = len(rounds)
         gone = scratch.write(_removable(edges, r), f"gone{r}")
         edges = scratch.write(_reduced(edges, gone), f"edges{r + 1}")
-        if r:
-            scratch.drop(f"edges{r}")
+        scratch.drop(f"edges{r}")
         now = edges.count()
         rounds.append(gone)
         if now > LEAST_SHRINK * left:
@@ -133,6 +133,7 @@ def connected(edges: DataFrame, scratch: Scratch, core_edges: int = CORE_EDGES)
     else:
         labels = _stars(edges, scratch)
     known = [scratch.write(labels, "core")]
+    scratch.drop(f"edges{len(rounds)}")
     for r in reversed(range(len(rounds))):
         above = known[0]
         for other in known[1:]:
@@ -152,23 +153,33 @@ def match_groups(pairs: DataFrame, scope: str, left: str, right: str, core_edges
     # Through explode, each key is tidied once: the optimizer copies a plain expression into the filter and every use.
     once = F.explode(F.array(F.struct(tidy(F.col(left)).alias("l"), tidy(F.col(right)).alias("r")))).alias("p")
     valid = pairs.select(F.col(scope).alias("scope"), once).select("scope", "p.*").where("l != '' and r != '' and l != r")
+    spark = pairs.sparkSession
     for seed in range(8):
         row_id = lambda c: F.xxhash64(F.col("scope"), F.lit(seed), F.col(c))  # noqa: B023, E731
         named = valid.select("scope", "l", "r", row_id("l").alias("li"), row_id("r").alias("ri"))
-        edges = scratch.write(named.select(*_half(F.col("li"), F.col("ri"))).distinct(), f"edges0-{seed}")
-        release_shuffles(pairs.sparkSession)
-        labels = connected(edges, scratch.below(f"seed{seed}"), core_edges)
-        release_shuffles(pairs.sparkSession)
-        # One grouping by id brings the keys and, without another shuffle of them, meets the labels.
+        edges = scratch.write(named.select(*_half(F.col("li"), F.col("ri"))).distinct(), "edges0")
+        release_shuffles(spark)
+        labels = connected(edges, scratch, core_edges)
+        release_shuffles(spark)
         sides = named.select(F.explode(F.array(F.struct(F.col("li").alias("id"), "scope", F.col("l").alias("key")), F.struct(F.col("ri").alias("id"), "scope", F.col("r").alias("key")))).alias("s")).select("s.*")
-        rows = sides.groupBy("id").agg(F.min(F.struct("scope", "key")).alias("row"), F.max(F.struct("scope", "key")).alias("other"))
-        joined = rows.join(labels.withColumnRenamed("id", "lid"), F.col("id") == F.col("lid"), "left")
-        labelled = scratch.write(joined.select("row.*", F.coalesce("root", "id").alias("root"), (F.col("row") != F.col("other")).alias("met")), f"labelled{seed}")
-        release_shuffles(pairs.sparkSession)
+        rows = scratch.write(sides.groupBy("id", "scope", "key").agg(F.lit(1).alias("one")).drop("one"), "rows")
+        release_shuffles(spark)
         # 64-bit ids must be one to one on these rows; if two rows ever meet, another seed is taken.
-        if labelled.where("met").isEmpty():
+        if rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
             break
     else:
         raise RuntimeError("no collision-free row id found")
+    # Slice by slice, so that never more than a slice of the keys is in shuffle files at once.
+    slices = []
+    for i in range(SLICES):
+        own = lambda d: d.where(F.pmod(F.col("id"), F.lit(SLICES)) == i)  # noqa: B023, E731
+        joined = own(rows).join(own(labels).withColumnRenamed("id", "lid"), F.col("id") == F.col("lid"), "left")
+        slices.append(scratch.write(joined.select("scope", "key", F.coalesce("root", "id").alias("root")), f"labelled{i}"))
+        release_shuffles(spark)
+    labelled = slices[0]
+    for other in slices[1:]:
+        labelled = labelled.unionByName(other)
+    for name in ("rows", "core", *(f"back{r}" for r in range(64))):
+        scratch.drop(name)
     least = labelled.groupBy("root").agg(F.min("key").alias("group_key"))
     return labelled.join(least, "root").select(F.col("scope").alias(scope), F.col("key").alias("row_key"), "group_key")
