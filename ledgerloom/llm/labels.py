@@ -54,14 +54,15 @@ def distance_for(length: int) -> int:
     return 0 if length < 3 else 1 if length < 6 else 2 if length < 11 else 3 if length < 18 else 4
 
 
-def fold(text: str) -> str:
-    """Lower case, umlauts and their spellings to the plain vowel."""
+def fold(text: str, digraphs: bool = True) -> str:
+    """Lower case, umlauts and (with ``digraphs``) their two-letter spellings to the plain vowel."""
     t = unicodedata.normalize("NFKC", text).lower().replace("ß", "ss")
-    t = t.replace("ae", "a").replace("oe", "o").replace("ue", "u")
+    if digraphs:
+        t = t.replace("ae", "a").replace("oe", "o").replace("ue", "u")
     return "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c))
 
 
-def words_of(text: str) -> list[tuple[str, str]]:
+def words_of(text: str, digraphs: bool = True) -> list[tuple[str, str]]:
     """Folded words with '.' if a dot shortens them, '.-' if the shortened word goes on after a hyphen;
     decoration and prepositions, slightly misspelt long ones included, left out."""
     t = text.replace("­", "").replace("​", "")
@@ -69,7 +70,7 @@ def words_of(text: str) -> list[tuple[str, str]]:
     t = re.sub(r"\((?:vj|vorjahr|i\. ?vj)[^)]*\)", " ", t, flags=re.I)
     t = re.sub(r"^\s*(?:(?:nr|pos)\.?\s*)?\d+(?:\.\d+)*\s*[.):]\s*|^\s*(?:nr|pos)\.?\s*\d+\s*[.:)]?\s*", "", t, flags=re.I)
     t = re.sub(r"(?<!\w)\d+\)|(?<!\w)\d+(?!\w)|[²³¹⁴]", " ", t)
-    t = fold(t)
+    t = fold(t, digraphs)
     t = re.sub(r"(?<=[a-z])[01|!5$]+(?=[a-z]|$|\W)|(?<!\w)[01|!5$](?=[a-z]{2})", lambda m: m[0].translate(_FOLD), t)
     out = []
     for m in re.finditer(r"([a-z]+)((?:\.-?)?)", t):
@@ -185,6 +186,7 @@ class Reference:
 
     def __init__(self, rows: list[tuple[str, str]]):
         kinds: dict[tuple[str, ...], set[str]] = defaultdict(set)
+        glued: set[tuple[tuple[str, ...], str]] = set()
         parsed = []
         for label, code in rows:
             words = [w for w, _ in words_of(label)]
@@ -192,6 +194,8 @@ class Reference:
                 continue
             kind, thing = tuple(words[:-1]), words[-1]
             parsed.append((kind, thing, code))
+            # A preposition run together with the kind is one more alias path.
+            glued |= {(kind, p) for p in re.findall(r"[a-z]+", fold(label)) if p in PREPOSITIONS and len(p) > 1}
             kinds[kind].add(code)
         # Kinds that head labels of one code are one class.
         root = {k: k for k in kinds}
@@ -215,7 +219,7 @@ class Reference:
         things: set[tuple[str, int]] = set()
         for _, t, _ in parsed:
             things.add((t, stem_id[stem(t)]))
-        self.kinds = Trie(sorted({(k, class_id[find(k)]) for k in kinds if k}))
+        self.kinds = Trie(sorted({(k, class_id[find(k)]) for k in kinds if k} | {((*k, p), class_id[find(k)]) for k, p in glued if k}))
         self.things = Trie(sorted(((t,), i) for t, i in things))
         self.codes: dict[tuple[int, int], set[str]] = defaultdict(set)
         for kind, thing, code in parsed:
@@ -239,9 +243,9 @@ class Reference:
             self.tails[key] = got
         return got
 
-    def entries_within(self, label: str) -> dict[str, int]:
+    def entries_within(self, label: str, digraphs: bool = True) -> dict[str, int]:
         """Code -> least total errors of all entries within their distances."""
-        words = words_of(label)
+        words = words_of(label, digraphs)
         if not words:
             return {}
         text, dots = "", set()
@@ -270,6 +274,9 @@ class Reference:
     def code_of(self, label: str) -> str:
         """The nearest code; UNMATCHED where a pair the list does not have is nearer, or two codes tie."""
         near = self.entries_within(label)
+        if not near and re.search("[aou]e", label, re.IGNORECASE):
+            # Two letters taken for an umlaut may be what a misspelling left side by side.
+            near = self.entries_within(label, digraphs=False)
         if not near:
             return UNMATCHED
         least = min(near.values())
