@@ -45,8 +45,8 @@ BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u
 
 
 def tidy(c: Column) -> Column:
-    """Lower case, trimmed, white space collapsed to one blank; the regular expression runs only where blanks repeat."""
-    plain = F.trim(F.translate(c, BLANKS, " " * len(BLANKS)))
+    """Lower case, trimmed, white space collapsed to one blank; characters are replaced only where there are odd or repeated blanks."""
+    plain = F.trim(F.when(c.rlike(r"[^\S ]|[\x{85}\p{Z}&&[^ ]]"), F.translate(c, BLANKS, " " * len(BLANKS))).otherwise(c))
     return F.lower(F.when(F.contains(plain, F.lit("  ")), F.regexp_replace(plain, " +", " ")).otherwise(plain))
 
 
