@@ -363,13 +363,23 @@ def sheet_provenance(spark, sf_dir):
     return table(spark, sf_dir, "lagebericht_facts").groupBy("sheet").agg(F.count("*").alias("n")).select("sheet", numbers.sheet_year(F.col("sheet")).alias("fy"), F.split_part("sheet", F.lit("_"), F.lit(1)).alias("doc"), "n")
 
 
+def _lines_under_headings(documents: DataFrame) -> DataFrame:
+    d = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("row_no", "line"))
+    head = F.when(F.length("line").between(3, 40) & ~F.col("line").rlike("[.:,;]"), F.col("line"))
+    return series.carry_forward(d.withColumn("head", head), ["doc_id"], ["row_no"], "head").select("doc_id", "row_no", "line", "section")
+
+
 @query(r"""SELECT doc_id, row_no, line, last_value(CASE WHEN length(line) BETWEEN 3 AND 40 AND NOT regexp_matches(line, '[.:,;]') THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY row_no ROWS UNBOUNDED PRECEDING) AS section
 FROM (SELECT doc_id, i - 1 AS row_no, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL AND n_chars < 2000)))""")
 def carry_forward(spark, sf_dir):
-    """Heading under which every line of the shorter texts stands."""
-    d = table(spark, sf_dir, "documents").where("text is not null and n_chars < 2000").select("doc_id", F.posexplode(F.split("text", "\n")).alias("row_no", "line"))
-    head = F.when(F.length("line").between(3, 40) & ~F.col("line").rlike("[.:,;]"), F.col("line"))
-    return series.carry_forward(d.withColumn("head", head), ["doc_id"], ["row_no"], "head").select("doc_id", "row_no", "line", "section")
+    """Heading under which every line of the shorter texts stands: the SQL's share of ``carry_forward_all``."""
+    return _lines_under_headings(table(spark, sf_dir, "documents").where("text is not null and n_chars < 2000"))
+
+
+@query()
+def carry_forward_all(spark, sf_dir):
+    """Heading under which every line of every text stands (the SQL of ``carry_forward`` holds the shorter texts only)."""
+    return _lines_under_headings(table(spark, sf_dir, "documents").where("text is not null"))
 
 
 @query(r"""WITH x AS (SELECT doc_id, '<html><head><style>p {x}</style></head><body><h1>' || coalesce(section, 'x') || '</h1><script>var a = "' || source || '";</script><p>' || lang || '</p></body></html>' AS html FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL)
