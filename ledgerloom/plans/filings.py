@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import labels, numbers, text
-from ledgerloom.operators import checks, mapping, segments, series, tables
+from ledgerloom.operators import checks, mapping, packed, segments, series, tables
 from ledgerloom.session import table
 from ledgerloom.sources import readers, sinks
 
@@ -165,12 +165,24 @@ def range_lookup(spark, sf_dir):
     return mapping.narrowest_range(p, "p_size", "variant", ranges, ["p_partkey", "p_size", "variant"])
 
 
+def _sources_of_targets(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("target").agg(F.countDistinct("source").alias("n_sources"), F.min("source").alias("first_source"))
+
+
 @query(r"""WITH b AS (SELECT bridge_id, gkv_code, unnest(regexp_split_to_array(trim(ukv_codes, ' '), '\s*,\s*')) AS target FROM pnl_format_bridge WHERE regexp_full_match(ukv_codes, '[A-Z]+-[A-Z]\.[0-9](\s*,\s*[A-Z]+-[A-Z]\.[0-9])*'))
 SELECT target, count(DISTINCT gkv_code) AS n_sources, min(gkv_code) AS first_source FROM b WHERE target <> '' GROUP BY 1""")
 def bridge_reverse(spark, sf_dir):
     """Bridge read backwards, on fields that are plain comma lists."""
     b = table(spark, sf_dir, "pnl_format_bridge").where(F.col("ukv_codes").rlike(r"^[A-Z]+-[A-Z]\.[0-9](\s*,\s*[A-Z]+-[A-Z]\.[0-9])*\z")).withColumn("t", F.trim("ukv_codes"))
-    return mapping.bridge(b, "gkv_code", "t").groupBy("target").agg(F.countDistinct("source").alias("n_sources"), F.min("source").alias("first_source"))
+    return _sources_of_targets(mapping.bridge(b, "gkv_code", "t"))
+
+
+@query()
+def bridge_reverse_all(spark, sf_dir):
+    """Bridge read backwards, on the single values of every field (the SQL of ``bridge_reverse`` holds plain comma lists only)."""
+    b = table(spark, sf_dir, "pnl_format_bridge")
+    items = packed.split_packed(b, "bridge_id", "company_normalized", "ukv_codes")
+    return _sources_of_targets(items.join(b.select("bridge_id", F.col("gkv_code").alias("source")), "bridge_id").withColumnRenamed("item", "target"))
 
 
 _WORDS = [("materialaufwand", "gkv", 3.0), ("bestand", "gkv", 1.0), ("umsatz", "ukv", 1.0), ("segment", "ukv", 2.0), ("rückstellung", "gkv", 1.0)]

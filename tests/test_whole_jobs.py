@@ -17,3 +17,16 @@ def test_carry_forward_reads_long_texts(spark, tmp_path):
             want.append((doc, i, line, section))
     got = registers.queries()["carry_forward_all"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == want
+
+
+def test_bridge_reverse_reads_every_field(spark, tmp_path):
+    fields = [
+        ("G-1", "U-A.1, U-A.2"), ("G-2", "U-A.1; U-A.12"), ("G-3", "U-A.1\tU-A.2"), ("G-4", "U-A.2 und U-A.1"), ("G-5", '"U-A.1, Inland" / U-A.2'), ("G-6", "[U-A.1, U-A.3]"),
+        ("G-7", "U-A.1 (a, b); U-A.3"), ("G-0", None), ("G-0", " "), ("G-1", "U-A.1"), (None, "U-A.3, U-A.4"),
+    ]
+    rows = [(i, "c", g, f) for i, (g, f) in enumerate(fields)]
+    spark.createDataFrame(rows, "bridge_id long, company_normalized string, gkv_code string, ukv_codes string").write.parquet(f"{tmp_path}/pnl_format_bridge.parquet")
+    got = {r.target: (r.n_sources, r.first_source) for r in registers.queries()["bridge_reverse_all"](spark, str(tmp_path)).collect()}
+    assert got == {
+        "U-A.1": (5, "G-1"), "U-A.2": (4, "G-1"), "U-A.12": (1, "G-2"), "U-A.1, Inland": (1, "G-5"), "U-A.3": (2, "G-6"), "U-A.1 (a, b)": (1, "G-7"), "U-A.4": (0, None),
+    }
