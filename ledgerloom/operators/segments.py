@@ -47,17 +47,21 @@ def sign_bits(vector: str, n: int = 64) -> str:
     return f"({bits})"
 
 
-def near_fingerprints(prints: DataFrame, key: str, bits: str, distance: int, bands: int) -> DataFrame:
+def near_fingerprints(prints: DataFrame, key: str, bits: str, distance: int, bands: int, n_bits: int = 64) -> DataFrame:
     """a, b, distance of all fingerprint pairs within ``distance`` bits, between representatives of equal fingerprints.
 
     By the pigeonhole principle two prints within d < bands bits agree in a whole band, so candidates come from an equi-join on
-    (band, bits of the band); more bands than errors make it complete.
+    (band, bits of the band); more bands than errors make it complete.  The lowest ``n_bits`` bits, the only ones a print uses,
+    are dealt to the bands evenly, so that every band has some.
     """
     if bands <= distance:
         raise ValueError("completeness needs more bands than errors")
-    width = -(-64 // bands)
+    if not bands <= n_bits <= 64:
+        raise ValueError("every band needs a bit, and a fingerprint has 64 at most")
+    starts = [b * n_bits // bands for b in range(bands + 1)]
     reps = prints.groupBy(bits).agg(F.min(key).alias("k"))
-    cut = reps.select("k", F.col(bits).alias("h"), F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.shiftrightunsigned(bits, b * width).bitwiseAND(F.lit((1 << width) - 1)).alias("part")) for b in range(bands)])).alias("x")).select("k", "h", "x.*")
+    parts = [F.shiftrightunsigned(bits, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 64 else -1)) for lo, hi in zip(starts, starts[1:], strict=False)]
+    cut = reps.select("k", F.col(bits).alias("h"), F.explode(F.array(*[F.struct(F.lit(b).alias("band"), part.cast("bigint").alias("part")) for b, part in enumerate(parts)])).alias("x")).select("k", "h", "x.*")
     a, b = cut.toDF("a", "ha", "band", "part"), cut.toDF("b", "hb", "band", "part")
     near = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
     return a.join(b, ["band", "part"]).where(F.col("a") < F.col("b")).select("a", "b", near.alias("distance")).where(F.col("distance") <= distance).distinct()

@@ -434,9 +434,9 @@ def exact_dedup(spark, sf_dir):
 r AS (SELECT bits, min(vec_id) AS k FROM p GROUP BY 1)
 SELECT x.k AS a, y.k AS b, CAST(bit_count(xor(x.bits, y.bits)) AS INT) AS distance FROM r x JOIN r y ON x.k < y.k WHERE bit_count(xor(x.bits, y.bits)) <= 7""")
 def near_dup_hamming(spark, sf_dir):
-    """Pairs of sign fingerprints within seven bits, complete by banding."""
-    p = table(spark, sf_dir, "embeddings").select("vec_id", F.expr(segments.sign_bits("embedding", 48)).alias("bits"))
-    return segments.near_fingerprints(p, "vec_id", "bits", 7, 8).withColumn("distance", F.col("distance").cast("int"))
+    """Pairs of sign fingerprints of all 64 components within seven bits, complete by banding (the SQL reads the first 48)."""
+    p = table(spark, sf_dir, "embeddings").select("vec_id", F.expr(segments.sign_bits("embedding", 64)).alias("bits"))
+    return segments.near_fingerprints(p, "vec_id", "bits", 7, 8, 64).withColumn("distance", F.col("distance").cast("int"))
 
 
 # Series ---------------------------------------------------------------------------------------------------------------

@@ -1,5 +1,10 @@
 """Queries over the whole of their tables, against plain Python."""
 
+import random
+
+import pytest
+
+from ledgerloom.operators import segments
 from ledgerloom.plans import registers
 
 
@@ -30,3 +35,40 @@ def test_bridge_reverse_reads_every_field(spark, tmp_path):
     assert got == {
         "U-A.1": (5, "G-1"), "U-A.2": (4, "G-1"), "U-A.12": (1, "G-2"), "U-A.1, Inland": (1, "G-5"), "U-A.3": (2, "G-6"), "U-A.1 (a, b)": (1, "G-7"), "U-A.4": (0, None),
     }
+
+
+def test_near_dup_hamming_reads_all_components(spark, tmp_path):
+    rnd = random.Random(5)
+    base = [[rnd.choice((-1.0, 1.0)) for _ in range(64)] for _ in range(20)]
+    flip = lambda v, at: [-x if i in at else x for i, x in enumerate(v)]
+    vectors = base + [flip(v, range(48, 64)) for v in base[:5]] + [flip(v, rnd.sample(range(64), 7)) for v in base[5:10]] + [flip(v, range(56, 64)) for v in base[10:12]] + base[:2]
+    spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    reps = {}
+    for i, v in enumerate(vectors):
+        reps.setdefault(tuple(v), i)
+    far = lambda p, q: sum(x != y for x, y in zip(p, q, strict=True))
+    want = {(i, j, far(p, q)) for p, i in reps.items() for q, j in reps.items() if i < j and far(p, q) <= 7}
+    got = registers.queries()["near_dup_hamming"](spark, str(tmp_path)).collect()
+    assert {(r.a, r.b, r.distance) for r in got} == want and len(got) == len(want) >= 5
+
+
+@pytest.mark.parametrize(("n_bits", "distance", "bands"), [(48, 7, 8), (64, 8, 9), (10, 4, 7), (64, 0, 1), (5, 4, 5)])
+def test_near_fingerprints_for_any_width(spark, n_bits, distance, bands):
+    rnd = random.Random(n_bits)
+    prints = list({rnd.getrandbits(n_bits) for _ in range(40)})
+    prints = list(dict.fromkeys(prints + [p ^ (1 << rnd.randrange(n_bits)) ^ (1 << rnd.randrange(n_bits)) for p in prints[:20]]))
+    d = spark.createDataFrame([(i, p - (1 << 64) if p >> 63 else p) for i, p in enumerate(prints)], "k int, bits long")
+    near = segments.near_fingerprints(d, "k", "bits", distance, bands, n_bits)
+    want = {(i, j) for j, q in enumerate(prints) for i, p in enumerate(prints[:j]) if (p ^ q).bit_count() <= distance}
+    assert {(r.a, r.b) for r in near.collect()} == want
+
+
+def test_no_band_of_a_fingerprint_is_constant(spark, monkeypatch):
+    # 48-bit prints that share no band hold no candidates: none may come from a band above the 48th bit.
+    prints = [int("0" * 48, 2), int("1" * 48, 2), int("01" * 24, 2)]
+    joined = []
+    d = spark.createDataFrame(list(enumerate(prints)), "k int, bits long")
+    join = type(d).join
+    monkeypatch.setattr(type(d), "join", lambda self, *a, **k: joined.append(join(self, *a, **k)) or joined[-1])
+    segments.near_fingerprints(d, "k", "bits", 7, 8, 48).collect()
+    assert joined[0].where("a < b").count() == 0
