@@ -12,9 +12,11 @@ so spellings too rare for statistics are still reached.  Spellings that no path
 joins to the anchor (a spelling that names no currency needs many links that all but agree; pieces, heads, per cent, square metres) have no scale, and
 their rows no amount.
 
-All work is JVM-side and aggregated; what reaches the driver is the list of
-pairs with at least a ten-thousandth of all links (at most 10,000 rows), and
-the scale table goes back to the rows by a join on the spelling.
+All work but the propagation is JVM-side and aggregated.  Every pair with
+enough links counts, however small its share: the pairs are propagated in one
+task, whose memory grows with them, and the scale table goes back to the rows
+by a join on the spelling.  A spelling in no such pair has its definition, read
+off the spelling itself in its row.  Nothing reaches the driver.
 
 Defined results: an amount marked as the prior year's or the plan's is not the
 fact's own; a null or blank unit is no unit; null sentences state nothing; a
@@ -26,11 +28,14 @@ from __future__ import annotations
 import heapq
 import math
 from collections import defaultdict
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.once import once
+from ledgerloom.operators import mapping
 from ledgerloom.session import Scratch
 
 # The words units are made of, and the conversions a scale may snap to.
@@ -146,6 +151,14 @@ def defined_scale(name: str) -> float | None:
     return scale if scale in CONVERSIONS else None
 
 
+def defined(name: Column) -> Column:
+    """``defined_scale`` of a column."""
+    known = F.create_map(*[F.lit(x) for kv in SCALE_WORDS.items() for x in kv])
+    words = F.filter(F.split(F.replace(name, F.lit("eur"), F.lit(" ")), r"[\s\p{Z}]+"), lambda w: w != "")
+    scale = F.aggregate(words, F.lit(1.0), lambda product, w: product * F.try_element_at(known, w))
+    return F.when(F.contains(name, F.lit("eur")) & scale.isin(*CONVERSIONS), scale.cast("int"))
+
+
 def propagate(pairs: list[tuple[str, str, int, float, float]], names: list[str], anchor: str = "eur") -> dict[str, float]:
     """Scale to the anchor of every spelling a path reaches, strongest links first (a maximum spanning tree from the anchor)."""
     near: dict[str, list[tuple[float, str, float]]] = defaultdict(list)
@@ -193,31 +206,33 @@ def prepared(facts: DataFrame, notes: DataFrame) -> DataFrame:
     return d.select("fact_id", "own", value.alias("value"), "u", "su", "named", "declared", F.coalesce("u", "su", "named", "declared").alias("value_unit"))
 
 
-def scale_graph(rows: DataFrame) -> tuple[DataFrame, dict[str, float]]:
-    """The estimated pairs, and the scales propagated from the anchor."""
+def scale_graph(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The estimated pairs, and the scales propagated from the anchor to the spellings in pairs (name, scale)."""
     links = rows.where("own is not null and value is not null").select(F.col("own.unit").alias("a"), F.coalesce("u", "su").alias("b"), F.col("own.number").cast("double").alias("x"), F.col("value").alias("y"))
     # The value is worth scale(b) each, the amount scale(a) each: the same quantity, so y * scale(b) = x * scale(a).
     pairs = pair_scales(links)
-    total = pairs.agg(F.sum("n").alias("all"))
-    strong = pairs.join(F.broadcast(total), F.col("n") * 10_000 >= F.col("all")).select("a", "b", "n", "scale", "agreement").collect()
-    names = rows.select(F.explode(F.array("own.unit", "u", "su", "named", "declared")).alias("name")).where("name like '%eur%'").groupBy("name").agg(F.count("*").alias("n"))
-    # Spellings with a hundred-thousandth of all mentions at least: at most 100,000 rows, each a few characters.
-    mentions = names.agg(F.sum("n").alias("all"))
-    known = [r[0] for r in names.join(F.broadcast(mentions), F.col("n") * 100_000 >= F.col("all")).select("name").collect()]
-    return pairs, propagate([(r[0], r[1], r[2], r[3], r[4]) for r in strong], known)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = propagate([tuple(r) for b in batches for r in b.itertuples(index=False)], [])
+        yield pd.DataFrame({"name": list(found), "scale": [int(v) for v in found.values()]})
+
+    # What propagate cannot use stays behind: pairs with fewer links than any pair needs, or less agreement.
+    usable = pairs.where((F.col("n") >= LEAST_LINKS) & (F.col("agreement") >= AGREEMENT)).select("a", "b", "n", "scale", "agreement")
+    return pairs, usable.repartition(1).mapInPandas(run, "name string, scale int")
 
 
 def to_euro_cents(facts: DataFrame, notes: DataFrame) -> DataFrame:
     """fact_id, eur_cents: one row per fact with a money amount whose unit is known."""
-    rows = Scratch(facts.sparkSession, "units").write(prepared(facts, notes), "prepared")
-    _, scales = scale_graph(rows)
-    return apply_scales(rows, scales)
+    scratch = Scratch(facts.sparkSession, "units")
+    rows = scratch.write(prepared(facts, notes), "prepared")
+    return apply_scales(rows, scratch.write(scale_graph(rows)[1], "scales"))
 
 
-def apply_scales(rows: DataFrame, scales: dict[str, float]) -> DataFrame:
-    """The fact's own amount decides; else the value in the unit of precedence."""
-    lookup = F.create_map(*[x for k, v in sorted(scales.items()) for x in (F.lit(k), F.lit(int(v)))]) if scales else F.lit(None).cast("map<string,int>")
-    own, held = lookup[F.col("own.unit")], lookup[F.col("value_unit")]
+def apply_scales(rows: DataFrame, scales: DataFrame) -> DataFrame:
+    """The fact's own amount decides; else the value in the unit of precedence. scales: name, scale of the spellings in pairs."""
+    scales = mapping.small(scales)
+    d = rows.withColumn("own_unit", F.col("own.unit")).join(scales.toDF("own_unit", "own_scale"), "own_unit", "left").join(scales.toDF("value_unit", "held_scale"), "value_unit", "left")
+    own, held = F.coalesce("own_scale", defined(F.col("own_unit"))), F.coalesce("held_scale", defined(F.col("value_unit")))
     cents = lambda x, s: F.round(x.cast("decimal(30,6)") * s.cast("decimal(10,0)") * F.lit(100).cast("decimal(3,0)"), 0).try_cast("bigint")
     amount = F.when(F.col("own").isNotNull() & own.isNotNull(), cents(F.col("own.number"), own)).when(F.col("value").isNotNull() & held.isNotNull(), cents(F.col("value"), held))
-    return rows.select("fact_id", amount.alias("eur_cents")).where("eur_cents is not null")
+    return d.select("fact_id", amount.alias("eur_cents")).where("eur_cents is not null")

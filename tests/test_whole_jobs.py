@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from ledgerloom.operators import segments
+from ledgerloom.operators import segments, units
 from ledgerloom.plans import registers
 
 
@@ -72,3 +73,20 @@ def test_no_band_of_a_fingerprint_is_constant(spark, monkeypatch):
     monkeypatch.setattr(type(d), "join", lambda self, *a, **k: joined.append(join(self, *a, **k)) or joined[-1])
     segments.near_fingerprints(d, "k", "bits", 7, 8, 48).collect()
     assert joined[0].where("a < b").count() == 0
+
+
+def test_a_rare_unit_spelling_keeps_its_definition_and_its_links(spark):
+    facts = "fact_id long, fiscal_year int, value double, unit string, source_unit string, sentence string, sheet string"
+    # 120,000 mentions of the common spelling; one fact in a spelling met once, and six links, under a 10,000th of all, that give "zeur" its scale.
+    many = spark.range(120_000).selectExpr("id as fact_id", "2020 as fiscal_year", "cast(id + 1 as double) as value", "'TEUR' as unit", "cast(null as string) as source_unit", "concat('Es waren EUR ', id + 1, '000.') as sentence", "'s' as sheet")
+    rare = [(200_000, 2020, 2.0, "Mrd. Euro", None, None, "s")]
+    rare += [(200_001 + i, 2020, float(i + 1), "Z EUR", None, f"Es waren EUR {i + 1}000000.", "s") for i in range(6)] + [(200_010, 2020, 3.0, "Z EUR", None, None, "s")]
+    notes = spark.createDataFrame([], "note_id int, sheet string, row_no int, note_text string")
+    got = {r.fact_id: r.eur_cents for r in units.to_euro_cents(many.unionByName(spark.createDataFrame(rare, facts)), notes).where("fact_id in (4, 200000, 200010)").collect()}
+    assert got == {4: 5 * 1000 * 100, 200_000: 2 * 10**9 * 100, 200_010: 3 * 10**6 * 100}
+
+
+def test_defined_scale_as_a_column(spark):
+    names = ["eur", "teur", "eurmio", "tsdeurt", "mrdeurmrd", "stück", "xeur", "eurt eur", "'000eur", "t", "", None]
+    got = spark.createDataFrame([(n,) for n in names], "n string").select("n", units.defined(F.col("n")).alias("s")).collect()
+    assert [r.s for r in got] == [None if n is None else units.defined_scale(n) for n in names]
