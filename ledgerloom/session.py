@@ -46,16 +46,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Written intermediate tables of one operator run, below one folder of the shared directory."""
+    """Written intermediate tables of one operator run, below one folder of the shared directory.
+
+    A result may still read its tables when the operator returns, so the folder is deleted when the driver ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+        path = self._path(self.root)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+
+    def _path(self, name: str):  # noqa: ANN202
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` once and return the table that reads it back."""
+    def write(self, df: DataFrame, name: str, ids: bool = False) -> DataFrame:
+        """Write ``df`` once and return the table that reads it back; ``ids``: its columns are hashes, which neither a dictionary nor a compressor shortens."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        out = df.write.mode("overwrite").option("compression", "lz4_raw" if ids else "zstd")
+        (out.option("parquet.enable.dictionary", "false") if ids else out).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def below(self, name: str) -> Scratch:
@@ -66,8 +77,7 @@ class Scratch:
 
     def drop(self, name: str) -> None:
         """Delete a table that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        path = self._path(f"{self.root}/{name}")
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
