@@ -1,23 +1,30 @@
 """Pairwise matches to groups: strip leaves, compress chains, solve the core, restore labels.
 
-The graph is a table of undirected edges between 64-bit row ids.  One round
-
-1. aggregates each vertex's degree and, by min and max, its neighbours (a
-   vertex of degree one or two is then fully known; hubs combine map-side),
-2. removes every vertex of degree one or two that has the smallest random
-   priority among its neighbours.  No two neighbours leave in one round: this
-   is the independent-set step of list ranking, so a chain of any length loses
-   a third of its vertices a round, and leaves go as well,
-3. joins the two neighbours of a removed chain vertex by a new edge, and
-   remembers the vertex with one of them.
+The graph is a table of edges between 64-bit row ids.
+
+* Round 0 works on the pairs as they come, repeated ones included.  A vertex
+  whose smallest and largest neighbour are one is a leaf: all leaves go at
+  once.  Two leaves that are each other's neighbour are a group of two, told
+  by the two marks their edge gets.
+* Every later round removes the vertices of degree one or two that have the
+  smallest random priority among their neighbours.  No two neighbours leave in
+  one round (the independent-set step of list ranking), so a chain of any
+  length loses a third of its vertices a round.  The two neighbours of a
+  removed chain vertex are joined by a new edge; the vertex is remembered with
+  one of them.
 
 Removal is a grouped aggregate on the edge itself (a removed edge arrives once
-more with a mark), never a join on a vertex, so a hub of a third of all edges
-makes no hot task.  Rounds go on while they shrink the graph and it has more
-than ``core_edges`` edges (counted from footers).  The reduced core is solved
-in one bounded task, or, if it is larger, by alternating large-star and
+more with a mark), never a join on a vertex.  Rounds go on while they shrink
+the graph and it has more than ``core_edges`` edges.  The reduced core is
+solved in one bounded task, or, if it is larger, by alternating large-star and
 small-star rounds.  Labels then go back to the removed vertices, last round
-first.
+first, and from ids to the keys.
+
+Skew: a vertex, a key or a group with more than ``hot`` rows (at least 1/20,000
+of all rows, so 40,000 such vertices exist at most) is joined by broadcast and
+reduced by map-side combined aggregates; only colder ones meet in one task.
+Ids of two keys may collide (likely only beyond some 10^9 keys); that is seen
+when the labels meet the keys, and another seed is taken.
 
 Defined results: keys compare in lower case, trimmed, white space collapsed;
 pairs with a null or blank key or two equal keys are void; a null company is a
@@ -28,18 +35,21 @@ table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.session import Scratch, release_shuffles
 
-CORE_EDGES = 300_000
+CORE_EDGES = 1_000_000
 LEAST_ROUNDS = 2
-SLICES = 4
+#: The keys are labelled in so many slices of companies, so that only a slice of them is in shuffle files at once.
+SLICES = 2
 LEAST_SHRINK = 0.95
+HOT_ROWS, HOT_SHARE = 100_000, 20_000
 # The white space characters of Unicode besides the blank.
 BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -50,8 +60,12 @@ def tidy(c: Column) -> Column:
     return F.lower(F.when(F.contains(plain, F.lit("  ")), F.regexp_replace(plain, " +", " ")).otherwise(plain))
 
 
-def _half(a: Column, b: Column) -> list[Column]:
-    return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    return edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.col("v").alias("y")), F.struct(F.col("v").alias("x"), F.col("u").alias("y")))).alias("e")).select("e.*")
 
 
 def _solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -76,110 +90,158 @@ def _solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"id": ids, "root": ids[label]})
 
 
-def _stars(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """Alternating large-star and small-star rounds; id, root."""
-    now = edges.select(F.col("v").alias("x"), F.col("u").alias("y"))
-    seen, n = None, 0
-    while True:
-        both = now.unionByName(now.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        low = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.join(low, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x != y").distinct()
-        large = scratch.write(large, f"large{n}")
-        low = large.groupBy("x").agg(F.min("y").alias("m"))
-        small = large.join(low, "x").where("y != m").select(F.col("y").alias("x"), F.col("m").alias("y")).unionByName(low.select("x", F.col("m").alias("y")))
-        small = scratch.write(small.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).where("x != y").distinct(), f"small{n}")
-        mark = tuple(small.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first())
-        if mark == seen:
-            roots = small.select(F.col("x").alias("id"), F.col("y").alias("root"))
-            return roots.unionByName(small.select(F.col("y").alias("id"), F.col("y").alias("root")).distinct())
-        if n:
-            scratch.drop(f"large{n - 1}")
-            scratch.drop(f"small{n - 1}")
-        now, seen, n = small, mark, n + 1
+class _Rounds:
+    """The written tables of one run and the size from which a vertex is hot."""
+
+    def __init__(self, scratch: Scratch, hot: int):
+        self.scratch, self.hot = scratch, hot
+
+    def write(self, df: DataFrame, name: str, **seen: Column) -> tuple[DataFrame, dict]:
+        """The written table and aggregates observed while it was written."""
+        if not seen:
+            return self.scratch.write(df, name, ids=True), {}
+        watch = Observation()
+        table = self.scratch.write(df.observe(watch, *[c.alias(n) for n, c in seen.items()]), name, ids=True)
+        return table, watch.get
+
+    def labelled(self, rows: DataFrame, key: str, table: DataFrame, hot: DataFrame | None) -> DataFrame:
+        """``rows`` with ``table``'s root where its id is ``key``; the ids of ``hot`` (bounded) are joined by broadcast."""
+        meet = lambda d: d.join(table, F.col(key) == F.col("id"), "left").drop("id")
+        if hot is None:
+            return meet(rows)
+        few = hot.select(F.col("x").alias("h"))
+        known = few.join(table, F.col("h") == F.col("id"), "left").select("h", "root")
+        warm = rows.join(F.broadcast(known), F.col(key) == F.col("h")).drop("h")
+        return meet(rows.join(F.broadcast(few), F.col(key) == F.col("h"), "left_anti")).unionByName(warm)
+
+    def stars(self, edges: DataFrame) -> DataFrame:
+        """Alternating large-star and small-star rounds; id, root."""
+        now = edges.select(F.col("v").alias("x"), F.col("u").alias("y"))
+        seen, n = None, 0
+        while True:
+            both = now.unionByName(now.select(F.col("y").alias("x"), F.col("x").alias("y")))
+            large, _ = self.write(self._least(both, f"low{n}").where("y > x").select(F.col("y").alias("x"), F.col("root").alias("y")).where("x != y").distinct(), f"large{n}")
+            met = self._least(large, f"lower{n}")
+            low = self.scratch.spark.read.parquet(f"{self.scratch.root}/lower{n}").select("x", F.col("m").alias("y"))
+            small = met.where("y != root").select(F.col("y").alias("x"), F.col("root").alias("y")).unionByName(low)
+            small, mark = self.write(small.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).where("x != y").distinct(), f"small{n}", n=F.count("*"), s=F.sum(F.xxhash64("x", "y").cast("decimal(38,0)")))
+            if mark == seen:
+                roots = small.select(F.col("x").alias("id"), F.col("y").alias("root"))
+                return roots.unionByName(small.select(F.col("y").alias("id"), F.col("y").alias("root")).distinct())
+            for old in (f"low{n}", f"lower{n}", *([f"large{n - 1}", f"small{n - 1}"] if n else [])):
+                self.scratch.drop(old)
+            now, seen, n = small, mark, n + 1
+
+    def _least(self, ends: DataFrame, name: str) -> DataFrame:
+        """x, y, root: every directed edge with the smallest of its x and that vertex's neighbours."""
+        low, top = self.write(ends.groupBy("x").agg(F.min("y").alias("m"), F.count("*").alias("n")).select("x", F.least("x", "m").alias("m"), "n"), name, most=F.max("n"))
+        hot = low.where(F.col("n") > self.hot) if (top["most"] or 0) > self.hot else None
+        return self.labelled(ends, "x", low.select(F.col("x").alias("id"), F.col("m").alias("root")), hot)
+
+
+def _leaves(edges: DataFrame) -> DataFrame:
+    """x, a, b (null), leaf, n of all leaves of a graph with repeated edges, and of its other vertices by their n."""
+    around = _ends(edges).groupBy("x").agg(F.min("y").alias("a"), F.max("y").alias("b"), F.count("*").alias("n"))
+    return around.select("x", "a", F.lit(None).cast("long").alias("b"), (F.col("a") == F.col("b")).alias("leaves"), "n")
 
 
 def _removable(edges: DataFrame, round_no: int) -> DataFrame:
-    """x, a, b (null for a leaf): vertices of degree at most two with the smallest priority around them."""
-    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.col("v").alias("y")), F.struct(F.col("v").alias("x"), F.col("u").alias("y")))).alias("e")).select("e.*")
-    around = ends.groupBy("x").agg(F.count("*").alias("n"), F.min("y").alias("a"), F.max("y").alias("b")).where("n <= 2")
+    """x, a, b (null for a leaf), leaves, n: the vertices of degree at most two with the smallest priority around them leave."""
+    around = _ends(edges).groupBy("x").agg(F.min("y").alias("a"), F.max("y").alias("b"), F.count("*").alias("n"))
     rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(round_no)), F.col(c))
-    return around.where((rank("x") < rank("a")) & (rank("x") < rank("b"))).select("x", "a", F.when(F.col("n") == 2, F.col("b")).alias("b"))
+    least = (rank("x") < rank("a")) & (rank("x") < rank("b"))
+    return around.select("x", "a", F.when(F.col("n") == 2, F.col("b")).alias("b"), ((F.col("n") <= 2) & least).alias("leaves"), "n")
 
 
 def _reduced(edges: DataFrame, gone: DataFrame) -> DataFrame:
-    marked = gone.select(F.explode(F.expr("filter(array(struct(least(x, a) AS u, greatest(x, a) AS v, 1 AS dead), struct(least(x, b) AS u, greatest(x, b) AS v, 1 AS dead), struct(least(a, b) AS u, greatest(a, b) AS v, 0 AS dead)), (e, i) -> i = 0 OR b IS NOT NULL)")).alias("e")).select("e.*")
-    return edges.withColumn("dead", F.lit(0)).unionByName(marked).groupBy("u", "v").agg(F.max("dead").alias("dead")).where("dead = 0").select("u", "v")
+    """u, v, marks of every edge, the new ones between the neighbours of chain vertices included."""
+    marked = gone.select(F.explode(F.expr("filter(array(struct(least(x, a) AS u, greatest(x, a) AS v, 1L AS dead), struct(least(x, b) AS u, greatest(x, b) AS v, 1L AS dead), struct(least(a, b) AS u, greatest(a, b) AS v, 0L AS dead)), (e, i) -> i = 0 OR b IS NOT NULL)")).alias("e")).select("e.*")
+    return edges.withColumn("dead", F.lit(0).cast("long")).unionByName(marked).groupBy("u", "v").agg(F.sum("dead").alias("dead"))
 
 
-def connected(edges: DataFrame, scratch: Scratch, core_edges: int = CORE_EDGES) -> DataFrame:
-    """id, root for every vertex that is not its own root's only bearer; a vertex that is missing is its own root.
+def connected(edges: DataFrame, rows: int, scratch: Scratch, core_edges: int = CORE_EDGES, hot: int = HOT_ROWS) -> tuple[DataFrame, DataFrame | None]:
+    """id, root for every vertex that is not its own root's only bearer (a missing vertex is its own root), and the vertices of more than ``hot`` edges.
 
-    ``edges`` has distinct rows (u, v) of bigint with u < v and is a written table.
+    ``edges`` is the written table ``edges0`` of ``rows`` rows (u, v) of bigint with u < v, which may repeat.
     """
-    left, rounds = edges.count(), []
-    while left and (len(rounds) < LEAST_ROUNDS or left > core_edges):
-        r = len(rounds)
-        gone = scratch.write(_removable(edges, r), f"gone{r}")
-        edges = scratch.write(_reduced(edges, gone), f"edges{r + 1}")
-        scratch.drop(f"edges{r}")
-        now = edges.count()
-        rounds.append(gone)
-        if now > LEAST_SHRINK * left:
-            left = now
+    run = _Rounds(scratch, hot)
+    left, gone, hubs, twins, r = rows, [], [], None, 0
+    while left and (r < LEAST_ROUNDS or left > core_edges):
+        found = _removable(edges, r) if r else _leaves(edges)
+        table, top = run.write(found.where(F.col("leaves") | (F.col("n") > hot)), f"gone{r}", most=F.max("n"))
+        hubs.append(table.where(F.col("n") > hot).select("x") if (top["most"] or 0) > hot else None)
+        gone.append(table.where("leaves").select("x", "a", "b"))
+        # In round 0 an edge with two marks is a group of two; later a leaf or chain vertex and its neighbour never both leave.
+        reduced, count = run.write(_reduced(edges, gone[r]).where("dead != 1" if r == 0 else "dead = 0"), f"edges{r + 1}", n=F.count_if(F.col("dead") == 0))
+        if r == 0:
+            twins = reduced.where("dead > 1").select(F.explode(F.array("u", "v")).alias("id"), F.col("u").alias("root"))
+        edges = reduced.where("dead = 0").select("u", "v")
+        if r != 1:  # edges1 holds the groups of two
+            scratch.drop(f"edges{r}")
+        release_shuffles(scratch.spark)
+        now, r = count["n"], r + 1
+        shrunk, left = now <= LEAST_SHRINK * left, now
+        if not shrunk:
             break
-        left = now
-    if left <= core_edges:
-        labels = edges.coalesce(1).mapInPandas(_solve, "id long, root long")
-    else:
-        labels = _stars(edges, scratch)
-    known = [scratch.write(labels, "core")]
-    scratch.drop(f"edges{len(rounds)}")
-    for r in reversed(range(len(rounds))):
-        above = known[0]
-        for other in known[1:]:
-            above = above.unionByName(other)
-        back = rounds[r].join(above, F.col("a") == F.col("id"), "left").select(F.col("x").alias("id2"), F.coalesce("root", "a").alias("root2")).toDF("id", "root")
-        known.append(scratch.write(back, f"back{r}"))
-        scratch.drop(f"gone{r}")
-    whole = known[0]
-    for other in known[1:]:
-        whole = whole.unionByName(other)
-    return whole
-
-
-def match_groups(pairs: DataFrame, scope: str, left: str, right: str, core_edges: int = CORE_EDGES) -> DataFrame:
+    known = [run.write(edges.coalesce(1).mapInPandas(_solve, "id long, root long") if left <= core_edges else run.stars(edges), "core")[0]]
+    for i in reversed(range(r)):
+        above = _union([*known, twins] if i == 0 else known)
+        back = run.labelled(gone[i], "a", above, hubs[i])
+        known.append(run.write(back.select(F.col("x").alias("id"), F.coalesce("root", "a").alias("root")), f"back{i}")[0])
+    return _union(known), hubs[0] if hubs else None
+
+
+def _slice(scope: Column) -> Column:
+    return F.pmod(F.xxhash64(scope), F.lit(SLICES))
+
+
+def match_groups(pairs: DataFrame, scope: str, left: str, right: str, core_edges: int = CORE_EDGES, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per key in a valid pair: ``scope``, row_key, group_key (the group's smallest key by code points)."""
-    scratch = Scratch(pairs.sparkSession, "components")
+    spark = pairs.sparkSession
     # Through explode, each key is tidied once: the optimizer copies a plain expression into the filter and every use.
     once = F.explode(F.array(F.struct(tidy(F.col(left)).alias("l"), tidy(F.col(right)).alias("r")))).alias("p")
-    valid = pairs.select(F.col(scope).alias("scope"), once).select("scope", "p.*").where("l != '' and r != '' and l != r")
-    spark = pairs.sparkSession
+    sliced = pairs.select(F.col(scope).alias("scope"), F.col(left).alias(left), F.col(right).alias(right), _slice(F.col(scope)).alias("slice"))
+    valid = lambda d: d.select("scope", "slice", once).select("scope", "slice", "p.*").where("l != '' and r != '' and l != r")
     for seed in range(8):
-        row_id = lambda c: F.xxhash64(F.col("scope"), F.lit(seed), F.col(c))  # noqa: B023, E731
-        named = valid.select("scope", "l", "r", row_id("l").alias("li"), row_id("r").alias("ri"))
-        edges = scratch.write(named.select(*_half(F.col("li"), F.col("ri"))).distinct(), "edges0")
-        release_shuffles(spark)
-        labels = connected(edges, scratch, core_edges)
-        release_shuffles(spark)
-        sides = named.select(F.explode(F.array(F.struct(F.col("li").alias("id"), "scope", F.col("l").alias("key")), F.struct(F.col("ri").alias("id"), "scope", F.col("r").alias("key")))).alias("s")).select("s.*")
-        rows = scratch.write(sides.groupBy("id", "scope", "key").agg(F.lit(1).alias("one")).drop("one"), "rows")
-        release_shuffles(spark)
-        # 64-bit ids must be one to one on these rows; if two rows ever meet, another seed is taken.
-        if rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        scratch = Scratch(spark, "components")
+        # The lowest bits of an id are its slice, so a slice's labels are found without its keys.
+        row_id = lambda c: F.xxhash64(F.col("scope"), F.lit(seed), F.col(c)).bitwiseAND(F.lit(-SLICES)) + F.col("slice")  # noqa: B023, E731
+        ids = valid(sliced).select(row_id("l").alias("li"), row_id("r").alias("ri"))
+        watch = Observation()
+        edges = scratch.write(ids.select(F.least("li", "ri").alias("u"), F.greatest("li", "ri").alias("v")).where("u != v").observe(watch, F.count("*").alias("n")), "edges0", ids=True)
+        hot = max(hot_rows, watch.get["n"] // HOT_SHARE)
+        labels, hubs = connected(edges, watch.get["n"], scratch, core_edges, hot)
+        sizes, top = _Rounds(scratch, hot).write(labels.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > hot), "sizes", n=F.count("*"))
+        giants = sizes.select(F.col("root").alias("giant")) if top["n"] else None
+        parts, clash = [], 0
+        for i in range(SLICES):
+            named = valid(sliced.where(F.col("slice") == i))
+            ends = named.select(F.explode(F.array(F.struct(row_id("l").alias("id"), "scope", F.col("l").alias("key")), F.struct(row_id("r").alias("id"), "scope", F.col("r").alias("key")))).alias("s")).select("s.*")
+            if hubs is not None:
+                few = F.broadcast(hubs.select(F.col("x").alias("h")))
+                ends = ends.join(few, F.col("id") == F.col("h"), "left_anti").unionByName(ends.join(few, F.col("id") == F.col("h"), "left_semi").distinct())
+            same = F.hash("scope", "key")
+            rows = ends.repartition("id").groupBy("id").agg(F.first(F.struct("scope", "key")).alias("s"), (F.min(same) != F.max(same)).alias("clash"))
+            own = labels.where(F.pmod(F.col("id"), F.lit(SLICES)) == i).withColumnRenamed("id", "lid")
+            joined = rows.join(own, F.col("id") == F.col("lid"), "left").select("s.scope", "s.key", F.coalesce("root", "id").alias("root"), "clash")
+            watch = Observation()
+            parts.append(scratch.write(joined.observe(watch, F.count_if("clash").alias("n")), f"labelled{i}").drop("clash"))
+            clash += watch.get["n"]
+            release_shuffles(spark)
+        if not clash:
             break
+        scratch.drop("")
     else:
         raise RuntimeError("no collision-free row id found")
-    # Slice by slice, so that never more than a slice of the keys is in shuffle files at once.
-    slices = []
-    for i in range(SLICES):
-        own = lambda d: d.where(F.pmod(F.col("id"), F.lit(SLICES)) == i)  # noqa: B023, E731
-        joined = own(rows).join(own(labels).withColumnRenamed("id", "lid"), F.col("id") == F.col("lid"), "left")
-        slices.append(scratch.write(joined.select("scope", "key", F.coalesce("root", "id").alias("root")), f"labelled{i}"))
-        release_shuffles(spark)
-    labelled = slices[0]
-    for other in slices[1:]:
-        labelled = labelled.unionByName(other)
-    for name in ("rows", "core", *(f"back{r}" for r in range(64))):
+    for name in ("core", "edges1", *(f"{kind}{r}" for kind in ("back", "gone") for r in range(64))):
         scratch.drop(name)
-    least = labelled.groupBy("root").agg(F.min("key").alias("group_key"))
-    return labelled.join(least, "root").select(F.col("scope").alias(scope), F.col("key").alias("row_key"), "group_key")
+    labelled = _union(parts)
+    cold = labelled
+    if giants is not None:
+        cold = labelled.join(F.broadcast(giants), F.col("root") == F.col("giant"), "left_anti")
+    out = cold.withColumn("group_key", F.min("key").over(Window.partitionBy("root")))
+    if giants is not None:
+        large = labelled.join(F.broadcast(giants), F.col("root") == F.col("giant")).drop("giant")
+        least = large.groupBy("root").agg(F.min("key").alias("group_key")).withColumnRenamed("root", "giant")
+        out = out.unionByName(large.join(F.broadcast(least), F.col("root") == F.col("giant")).drop("giant"))
+    return out.select(F.col("scope").alias(scope), F.col("key").alias("row_key"), "group_key")

@@ -40,11 +40,11 @@ def graph():
     return chain + star + dense + cycle + odd + chain[:20]
 
 
-@pytest.mark.parametrize("core", [0, 40, 300_000])
-def test_against_union_find(spark, core):
+@pytest.mark.parametrize(("core", "hot"), [(0, 100_000), (0, 3), (40, 20), (1_000_000, 5)])
+def test_against_union_find(spark, core, hot):
     pairs = graph()
     d = spark.createDataFrame(pairs, "scope string, a string, b string")
-    got = [tuple(r) for r in match_groups(d, "scope", "a", "b", core).collect()]
+    got = [tuple(r) for r in match_groups(d, "scope", "a", "b", core, hot).collect()]
     assert len(got) == len(set(got))
     assert set(got) == brute(pairs)
 
@@ -54,3 +54,19 @@ def test_nothing_and_clashing_columns(spark):
     assert match_groups(d, "scope", "a", "b").count() == 0
     d = spark.createDataFrame([("s", "x", "y", 1, "r")], "scope string, a string, b string, id int, root string")
     assert sorted(map(tuple, match_groups(d, "scope", "a", "b").collect())) == [("s", "x", "x"), ("s", "y", "x")]
+
+
+def test_a_repeated_pair_and_a_hub_are_hot(spark):
+    pairs = [("s", "a", "b")] * 60 + [("s", "hub", f"l{i:02d}") for i in range(40)] + [("s", f"l{i:02d}", f"m{i:02d}") for i in range(0, 40, 3)] + [("t", "a", "B")]
+    d = spark.createDataFrame(pairs, "scope string, a string, b string")
+    got = [tuple(r) for r in match_groups(d, "scope", "a", "b", 1_000_000, 10).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == brute(pairs)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_forests(spark, seed):
+    rnd = random.Random(seed)
+    pairs = [("s", f"v{i}", f"v{rnd.randrange(max(0, i - 30), i)}") for i in range(1, 400) if rnd.random() < 0.9] + [("s", f"v{rnd.randrange(400)}", f"v{rnd.randrange(400)}") for _ in range(8)]
+    d = spark.createDataFrame(pairs, "scope string, a string, b string")
+    assert {tuple(r) for r in match_groups(d, "scope", "a", "b", 20, 4).collect()} == brute(pairs)
