@@ -10,6 +10,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,11 +63,13 @@ class Scratch:
     def _path(self, name: str):  # noqa: ANN202
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
 
-    def write(self, df: DataFrame, name: str, ids: bool = False) -> DataFrame:
-        """Write ``df`` once and return the table that reads it back; ``ids``: its columns are hashes, which neither a dictionary nor a compressor shortens."""
-        path = f"{self.root}/{name}"
-        out = df.write.mode("overwrite").option("compression", "lz4_raw" if ids else "zstd")
-        (out.option("parquet.enable.dictionary", "false") if ids else out).parquet(path)
+    def write(self, df: DataFrame, name: str, hashes: Iterable[str] = ()) -> DataFrame:
+        """Write ``df`` once and return the table that reads it back; the columns ``hashes`` are written without a dictionary, which shortens none."""
+        path, hashes = f"{self.root}/{name}", list(hashes)
+        out = df.write.mode("overwrite").option("compression", "lz4_raw" if set(hashes) == set(df.columns) else "zstd")
+        for column in hashes:
+            out = out.option(f"parquet.enable.dictionary#{column}", "false")
+        out.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def below(self, name: str) -> Scratch:
