@@ -46,18 +46,38 @@ from ledgerloom.session import Scratch, release_shuffles
 
 CORE_EDGES = 1_000_000
 LEAST_ROUNDS = 2
-#: The keys are labelled in so many slices of companies, so that only a slice of them is in shuffle files at once.
-SLICES = 2
+#: The keys are labelled in so many (a power of two) slices of companies, so that only a slice of them is in shuffle files at once.
+SLICES = 4
 LEAST_SHRINK = 0.95
 HOT_ROWS, HOT_SHARE = 100_000, 20_000
+ID_COLUMNS = {"x", "y", "a", "b", "u", "v", "id", "root", "m"}
 # The white space characters of Unicode besides the blank.
 BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
-def tidy(c: Column) -> Column:
-    """Lower case, trimmed, white space collapsed to one blank; the regular expression runs only where blanks repeat."""
-    plain = F.trim(F.translate(c, BLANKS, " " * len(BLANKS)))
-    return F.lower(F.when(F.contains(plain, F.lit("  ")), F.regexp_replace(plain, " +", " ")).otherwise(plain))
+def untidy(left: Column, right: Column) -> Column:
+    """Whether either key may hold other white space than single blanks inside; null if a key is null."""
+    both = F.concat(F.lit("  "), left, F.lit("  "), right, F.lit("  ")).cast("binary")
+    # A blank beside a key's end makes three in a row; the multi-byte blanks are met by their first bytes.
+    inside = F.concat(left, F.lit("|"), right).cast("binary")
+    marks = {c.encode()[: 2 if c >= "\u2000" else 3] for c in BLANKS}
+    return reduce(Column.__or__, [F.contains(both, F.lit(b"   ")), F.contains(inside, F.lit(b"  ")), *(F.contains(inside, F.lit(m)) for m in sorted(marks))])
+
+
+def tidy(c: Column, flag: Column) -> Column:
+    """Lower case; where ``flag`` says so, trimmed and white space collapsed to one blank."""
+    return F.lower(F.when(flag, F.trim(F.regexp_replace(F.translate(c, BLANKS, " " * len(BLANKS)), " +", " "))).otherwise(c))
+
+
+def valid_pairs(pairs: DataFrame, scope: str, left: str, right: str) -> DataFrame:
+    """scope, slice, l, r: tidied keys of the pairs that are not void.
+
+    The optimizer copies a plain expression into the filter and into every use; behind explode each is evaluated once.
+    """
+    sides = pairs.select(F.col(scope).alias("scope"), F.col(left).alias("a"), F.col(right).alias("b")).where("a is not null and b is not null")
+    d = sides.select("scope", "a", "b", F.explode(F.array(untidy(F.col("a"), F.col("b")))).alias("f"))
+    d = d.select("scope", F.explode(F.array(F.struct(tidy(F.col("a"), F.col("f")).alias("l"), tidy(F.col("b"), F.col("f")).alias("r")))).alias("p"))
+    return d.select("scope", F.pmod(F.xxhash64("scope"), F.lit(SLICES)).cast("int").alias("slice"), "p.*").where("l != '' and r != '' and l != r")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -99,9 +119,9 @@ class _Rounds:
     def write(self, df: DataFrame, name: str, **seen: Column) -> tuple[DataFrame, dict]:
         """The written table and aggregates observed while it was written."""
         if not seen:
-            return self.scratch.write(df, name, ids=True), {}
+            return self.scratch.write(df, name, ID_COLUMNS & {*df.columns}), {}
         watch = Observation()
-        table = self.scratch.write(df.observe(watch, *[c.alias(n) for n, c in seen.items()]), name, ids=True)
+        table = self.scratch.write(df.observe(watch, *[c.alias(n) for n, c in seen.items()]), name, ID_COLUMNS & {*df.columns})
         return table, watch.get
 
     def labelled(self, rows: DataFrame, key: str, table: DataFrame, hot: DataFrame | None) -> DataFrame:
@@ -162,7 +182,7 @@ def _reduced(edges: DataFrame, gone: DataFrame) -> DataFrame:
 def connected(edges: DataFrame, rows: int, scratch: Scratch, core_edges: int = CORE_EDGES, hot: int = HOT_ROWS) -> tuple[DataFrame, DataFrame | None]:
     """id, root for every vertex that is not its own root's only bearer (a missing vertex is its own root), and the vertices of more than ``hot`` edges.
 
-    ``edges`` is the written table ``edges0`` of ``rows`` rows (u, v) of bigint with u < v, which may repeat.
+    ``edges`` is a written table of ``rows`` rows (u, v) of bigint with u < v, which may repeat.
     """
     run = _Rounds(scratch, hot)
     left, gone, hubs, twins, r = rows, [], [], None, 0
@@ -176,7 +196,7 @@ def connected(edges: DataFrame, rows: int, scratch: Scratch, core_edges: int = C
         if r == 0:
             twins = reduced.where("dead > 1").select(F.explode(F.array("u", "v")).alias("id"), F.col("u").alias("root"))
         edges = reduced.where("dead = 0").select("u", "v")
-        if r != 1:  # edges1 holds the groups of two
+        if r > 1:  # edges1 holds the groups of two
             scratch.drop(f"edges{r}")
         release_shuffles(scratch.spark)
         now, r = count["n"], r + 1
@@ -188,35 +208,33 @@ def connected(edges: DataFrame, rows: int, scratch: Scratch, core_edges: int = C
         above = _union([*known, twins] if i == 0 else known)
         back = run.labelled(gone[i], "a", above, hubs[i])
         known.append(run.write(back.select(F.col("x").alias("id"), F.coalesce("root", "a").alias("root")), f"back{i}")[0])
+        if i == 0 and hubs[0] is not None:
+            hubs[0] = run.write(hubs[0], "hubs")[0]
+        scratch.drop(f"gone{i}")
+    for name in {f"edges{r}", "edges1"}:
+        scratch.drop(name)
     return _union(known), hubs[0] if hubs else None
 
 
-def _slice(scope: Column) -> Column:
-    return F.pmod(F.xxhash64(scope), F.lit(SLICES))
-
-
 def match_groups(pairs: DataFrame, scope: str, left: str, right: str, core_edges: int = CORE_EDGES, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per key in a valid pair: ``scope``, row_key, group_key (the group's smallest key by code points)."""
     spark = pairs.sparkSession
-    # Through explode, each key is tidied once: the optimizer copies a plain expression into the filter and every use.
-    once = F.explode(F.array(F.struct(tidy(F.col(left)).alias("l"), tidy(F.col(right)).alias("r")))).alias("p")
-    sliced = pairs.select(F.col(scope).alias("scope"), F.col(left).alias(left), F.col(right).alias(right), _slice(F.col(scope)).alias("slice"))
-    valid = lambda d: d.select("scope", "slice", once).select("scope", "slice", "p.*").where("l != '' and r != '' and l != r")
+    valid = valid_pairs(pairs, scope, left, right)
     for seed in range(8):
         scratch = Scratch(spark, "components")
-        # The lowest bits of an id are its slice, so a slice's labels are found without its keys.
-        row_id = lambda c: F.xxhash64(F.col("scope"), F.lit(seed), F.col(c)).bitwiseAND(F.lit(-SLICES)) + F.col("slice")  # noqa: B023, E731
-        ids = valid(sliced).select(row_id("l").alias("li"), row_id("r").alias("ri"))
+        # An id leaves its slice's number when divided by SLICES, so a slice's labels are found without its keys.
+        row_id = lambda c: F.xxhash64(F.col("scope"), F.lit(seed), F.col(c)).bitwiseAND(F.lit(~(SLICES - 1))) + F.col("slice")  # noqa: B023, E731
         watch = Observation()
-        edges = scratch.write(ids.select(F.least("li", "ri").alias("u"), F.greatest("li", "ri").alias("v")).where("u != v").observe(watch, F.count("*").alias("n")), "edges0", ids=True)
+        named = scratch.write(valid.select("*", row_id("l").alias("li"), row_id("r").alias("ri")).observe(watch, F.count("*").alias("n")), "named", ["li", "ri"])
+        edges = named.select(F.least("li", "ri").alias("u"), F.greatest("li", "ri").alias("v")).where("u != v")
         hot = max(hot_rows, watch.get["n"] // HOT_SHARE)
         labels, hubs = connected(edges, watch.get["n"], scratch, core_edges, hot)
         sizes, top = _Rounds(scratch, hot).write(labels.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > hot), "sizes", n=F.count("*"))
         giants = sizes.select(F.col("root").alias("giant")) if top["n"] else None
         parts, clash = [], 0
         for i in range(SLICES):
-            named = valid(sliced.where(F.col("slice") == i))
-            ends = named.select(F.explode(F.array(F.struct(row_id("l").alias("id"), "scope", F.col("l").alias("key")), F.struct(row_id("r").alias("id"), "scope", F.col("r").alias("key")))).alias("s")).select("s.*")
+            side = lambda at, key: F.struct(F.col(at).alias("id"), "scope", F.col(key).alias("key"))
+            ends = named.where(F.col("slice") == i).select(F.explode(F.array(side("li", "l"), side("ri", "r"))).alias("s")).select("s.*")
             if hubs is not None:
                 few = F.broadcast(hubs.select(F.col("x").alias("h")))
                 ends = ends.join(few, F.col("id") == F.col("h"), "left_anti").unionByName(ends.join(few, F.col("id") == F.col("h"), "left_semi").distinct())
@@ -233,7 +251,7 @@ def match_groups(pairs: DataFrame, scope: str, left: str, right: str, core_edges
         scratch.drop("")
     else:
         raise RuntimeError("no collision-free row id found")
-    for name in ("core", "edges1", *(f"{kind}{r}" for kind in ("back", "gone") for r in range(64))):
+    for name in ("named", "core", "hubs", *(f"back{r}" for r in range(64))):
         scratch.drop(name)
     labelled = _union(parts)
     cold = labelled
