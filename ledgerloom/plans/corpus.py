@@ -44,10 +44,11 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     that rebuilds the touched chains.
     """
     raw = table(spark, sf_dir, "entity_records")
-    cut = raw.agg(F.percentile_approx(F.unix_micros(F.col("loaded_at").cast("timestamp")), UPDATE_SHARE).alias("cut"))
-    marked = raw.crossJoin(F.broadcast(cut)).withColumn("later", F.coalesce(F.unix_micros(F.col("loaded_at").cast("timestamp")) > F.col("cut"), F.lit(False)))
-    base = Scratch(spark, "history").write(history.build_history(marked.where("not later")), "base")
-    return history.rebuild_affected(base, raw, marked.where("later"))
+    loaded = F.unix_micros(F.col("loaded_at").cast("timestamp"))
+    cut = raw.agg(F.percentile_approx(loaded, UPDATE_SHARE)).first()[0]
+    later = F.coalesce(loaded > F.lit(cut), F.lit(False))
+    base = Scratch(spark, "history").write(history.build_history(raw.where(~later)), "base")
+    return history.rebuild_affected(base, raw, raw.where(later))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
