@@ -20,6 +20,19 @@ CLEAN = [
 ]
 
 
+# Texts of other domains than the tables', none of which the grammars name.
+RESIDUE += [
+    "Dear [Recipient], thank you for your order.", "Hallo <Vorname>, schön, dass Sie da sind!", "Invoice {invoice_number} is due.", "Diese Website benötigt JavaScript.", "You must have JavaScript turned on.", "404 Not Found nginx", "Error 503: upstream connect error",
+    "Hi {{#if user}}there{{/if}}", "Lorem ipsum.", "asdf asdf 123 test qwertz", "Total: #{order_total}", "HTTP/1.1 502 Bad Gateway", "Scripting is disabled in your browser.", "Dear {first_name}, welcome back.", "consectetur adipiscing elit sed do eiusmod",
+]
+CLEAN += [
+    "In Jinja the tag {{ name }} is replaced by the value of name.", 'Example: <code class="jinja">{{ name }}</code> is rendered.', "Example:\n~~~\n{{ name }} ${x}\n~~~\nEnd.", "Usage:\n\n    print({{ name }})\n\nThat is all.", "Text:\n```\n" + "x = 1\n" * 5_000 + "{{ name }}\n```\nEnd.",
+    "The course shows how to enable JavaScript in Firefox for elderly users.", "The Lorem ipsum text derives from Cicero.", "We sell paint in red, green, blue, yellow, orange, purple, brown, black, white, grey, pink and beige.", "red, green, blue, yellow, orange, purple, brown, black, white, grey, pink",
+    "Use `{{ x }}` and ```${y}``` inline.", "He wrote: \"access denied\" on the wall and left.", "The set {a, b} and the list [1, 2] stay.", "See the docs [Note] and <b>bold</b> text.", "<Betrag>5</Betrag>", "Wanted: developers who need JavaScript skills.",
+    "Variables are written ${name}. A loop is {% for x in y %}. The syntax ${name} is escaped with a backslash. So ${other} works too.",
+]
+
+
 def test_residue_and_clean(spark):
     texts = RESIDUE + CLEAN
     d = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
