@@ -79,3 +79,32 @@ def test_empty_and_clashing(spark):
     assert L.match_labels(none, ref, "alias_id", "client_label", "original_label", "hgb_code").count() == 0
     some = spark.createDataFrame([(1, "Erlöse aus Umzügen", "k", "l", "c"), (2, None, "k", "l", "c"), (3, "  ", "k", "l", "c")], none.schema)
     assert [tuple(r) for r in L.match_labels(some, ref, "alias_id", "client_label", "original_label", "hgb_code").collect()] == [(1, "R.1")]
+
+
+CITIES = [("Berlin", "B"), ("Hamburg", "HH"), ("San Francisco", "SF"), ("New York", "NY"), ("Frankfurt am Main", "F"), ("X", "X"), ("Netto", "N"), ("Position", "P")]
+JOBS = [("Accountant", "J1"), ("Head of Sales", "J2"), ("Software Engineer", "J3"), ("Net Position Manager", "J4"), ("Engineer", "J5")]
+
+
+@pytest.mark.parametrize(
+    ("entries", "label", "code"),
+    [
+        (CITIES, "Berlim", "B"), (CITIES, "Hambrug", "HH"), (CITIES, "San Fransisco", "SF"), (CITIES, "sanfrancisco", "SF"), (CITIES, "York, New", "NY"), (CITIES, "Frankfurt a. Main", "F"), (CITIES, "Netto", "N"), (CITIES, "Position", "P"), (CITIES, "X", "X"), (CITIES, "Paris", L.UNMATCHED),
+        (CITIES, "1. Berlin", "B"), (JOBS, "Acountant", "J1"), (JOBS, "Head Sales", "J2"), (JOBS, "Head fo Sales", "J2"), (JOBS, "Sofware Enginer", "J3"), (JOBS, "Engineer", "J5"), (JOBS, "Net Postion Manager", "J4"), (JOBS, "Sales", L.UNMATCHED),
+    ],
+)
+def test_lists_of_other_fields(entries, label, code):
+    assert L.Reference(entries).code_of(label) == code
+
+
+def test_all_entries_within_the_distance(spark):
+    ref = spark.createDataFrame([("Marlin", "m"), ("Martin", "t"), ("Berlin", "b"), (None, "n"), (" ", "n"), ("Marta", None)], "entry string, code string")
+    d = spark.createDataFrame([(1, "Marlin"), (2, "Matin"), (3, None), (4, "Quux")], "k int, label string")
+    got = [tuple(r) for r in L.entries_within(d, ref, "k", "label", "entry", "code").collect()]
+    assert sorted(got) == [(1, "Berlin", "b", 2), (1, "Marlin", "m", 0), (1, "Martin", "t", 1), (2, "Martin", "t", 1)]
+
+
+def test_a_label_of_a_third_of_all_rows(spark):
+    ref = spark.createDataFrame(LIST, "entry string, code string")
+    d = spark.range(60).selectExpr("id as k", "if(id % 3 = 0, 'erlöse aus umzügen', concat('Label ', id)) as label")
+    got = dict(map(tuple, L.match_labels(d, ref, "k", "label", "entry", "code", hot_rows=5).collect()))
+    assert got == {i: "R.1" if i % 3 == 0 else L.UNMATCHED for i in range(60)}
