@@ -74,14 +74,44 @@ def thousand_euro(text: Column) -> Column:
     return F.lower(text).rlike(r"t(?:eur|euro|sd\.?)|t€")
 
 
+# Dates in prose, printed short or with the month's name.
+DATE = r"(?iu)\b\d{1,2}\.\d{1,2}\.20\d\d\b|\b(?:zum|ab|seit)\s+\d{1,2}\.\s*(?:januar|februar|märz|april|mai|juni|juli|august|september|oktober|november|dezember)\s+20\d\d\b"
+
+
 def prose_amounts(sentence: Column, unit: Column) -> Column:
     """All numbers of a sentence in euros, dates left out; empty where no unit is known."""
-    bare = F.regexp_replace(sentence, r"\b\d{1,2}\.\d{1,2}\.20\d\d\b", "")
+    bare = F.regexp_replace(sentence, DATE, "")
     found = F.regexp_extract_all(bare, F.lit(r"(?<!\w)((?:[+\-−–]\s*)?(?:\d{1,3}(?:\.\d{3})+|\d+)(?:,\d+)?)(?!\w)"), F.lit(1))
     scale = F.when(unit == "TEUR", 1000.0).otherwise(1.0)
     return F.when(unit.isNull(), F.array().cast("array<double>")).otherwise(F.transform(found, lambda x: prose_number(x) * scale))
 
 
+def shown(value: Column, digits: int = 1) -> Column:
+    """A figure as a statement prints it: fixed digits, negative ones in brackets."""
+    body = F.format_string(f"%.{digits}f", F.abs(value))
+    return F.when(value < 0, F.concat(F.lit("("), body, F.lit(")"))).otherwise(body)
+
+
+def millions(value: Column, digits: int = 1) -> Column:
+    """Euros shown in millions."""
+    return shown(F.round(value / 1e6, digits), digits)
+
+
+def export_number(text: Column) -> Column:
+    """What an export writes for a cell: a plain machine number as it is, else the printed German number, else null."""
+    return F.coalesce(F.when(text.rlike(r"^-?\d+\.\d{1,2}$"), _double(text)), parse_cell(text))
+
+
+def start_year(text: Column) -> Column:
+    """First year a period names (2019/2020, 'vom 1.7.2019 bis zum 30.6.2020': 2019)."""
+    return F.nullif(F.regexp_extract(text, rf"({YEAR})", 1), F.lit("")).cast("int")
+
+
+def end_year(text: Column) -> Column:
+    """Last year a period names."""
+    return F.nullif(F.regexp_extract(text, rf"({YEAR})\D*$", 1), F.lit("")).cast("int")
+
+
 def days_late(published: Column, deadline: Column) -> Column:
     """Days after the deadline, never negative; null without a deadline."""
     return F.when(published.isNotNull() & deadline.isNotNull(), F.greatest(F.lit(0), F.datediff(published, deadline)))

@@ -54,6 +54,14 @@ def long(rows: DataFrame, keys: list[str], years: list[str]) -> DataFrame:
     return rows.unpivot(keys, years, "year_col", "value").where("value is not null").withColumn("year", F.regexp_extract("year_col", r"(\d{4})", 1).cast("int")).select(*keys, "year", "value")
 
 
+def last_growth(rows: DataFrame, keys: list[str], year: str, value: str) -> DataFrame:
+    """keys, year, prev_year, growth of the last two points of every series, adjacent or not; none after a zero or a single point."""
+    points = F.array_sort(F.collect_set(F.struct(F.col(year).alias("y"), F.col(value).alias("v"))))
+    p = rows.groupBy(*keys).agg(points.alias("__p")).where(F.size("__p") > 1)
+    last, prev = F.element_at("__p", -1), F.element_at("__p", -2)
+    return p.select(*keys, last["y"].alias(year), prev["y"].alias("prev_year"), F.when(prev["v"] != 0, (last["v"] - prev["v"]) / F.abs(prev["v"])).alias("growth")).where("growth is not null")
+
+
 def carry_forward(rows: DataFrame, scope: list[str], order: list[str], column: str) -> DataFrame:
     """``rows`` with section: the last non-null ``column`` at or above each row."""
     w = Window.partitionBy(*scope).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

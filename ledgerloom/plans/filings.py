@@ -329,8 +329,8 @@ def type_counts(spark, sf_dir):
 
 
 def _kind_sql() -> str:
-    def proof(p: str) -> str:
-        return "(" + " AND ".join(f"contains(t, '{w}')" for w in p.split("+")) + ")"
+    def proof(words: tuple[str, ...]) -> str:
+        return "(" + " AND ".join(f"contains(t, '{w}')" for w in words) + ")"
 
     return "CASE " + " ".join(f"WHEN {' OR '.join(map(proof, proofs))} THEN '{kind}'" for kind, proofs in text.SHEET_KINDS) + " ELSE 'unknown' END"
 
@@ -361,7 +361,7 @@ def _trigger_sql() -> str:
 SELECT kind, CASE WHEN regexp_matches(lower(sentence), '[−–-]\s*[0-9]') THEN 'expense' WHEN regexp_matches(lower(sentence), 'aufwendungen|belastung|verlust|kosten') THEN 'expense' WHEN regexp_matches(lower(sentence), 'erträge|ertraege|gewinn|entlastung') THEN 'income' ELSE 'unknown' END AS direction,
  CASE WHEN regexp_matches(lower(sentence), 'umsatz|erlös|erloes') THEN 'revenue' WHEN regexp_matches(lower(sentence), 'kosten|aufwand|material|personal') THEN 'cost' ELSE 'unknown' END AS metric,
  CASE WHEN regexp_matches(lower(sentence), 'entkonsolid|aus dem konsolidierungskreis') THEN 'left' WHEN regexp_matches(lower(sentence), 'erstkonsolid|in den konsolidierungskreis') THEN 'entered' ELSE 'mentioned' END AS change,
- count(*) AS n, CAST(sum(len(regexp_extract_all(sentence, '[0-9]{{1,2}}\.[0-9]{{1,2}}\.20[0-9][0-9]'))) AS BIGINT) AS n_dates FROM f GROUP BY 1, 2, 3, 4""")
+ count(*) AS n, CAST(sum(len(regexp_extract_all(sentence, '{numbers.DATE.replace("(?iu)", "(?i)")}'))) AS BIGINT) AS n_dates FROM f GROUP BY 1, 2, 3, 4""")
 def sentence_facts(spark, sf_dir):
     """Facts stated in prose, by kind, direction, metric and scope change."""
     d = table(spark, sf_dir, "documents").where("text is not null").withColumn("sheet", F.concat(F.lit("FY"), F.coalesce(F.col("fiscal_year").cast("string"), F.lit(""))))
@@ -394,13 +394,12 @@ def carry_forward_all(spark, sf_dir):
     return _lines_under_headings(table(spark, sf_dir, "documents").where("text is not null"))
 
 
-@query(r"""WITH x AS (SELECT doc_id, '<html><head><style>p {x}</style></head><body><h1>' || coalesce(section, 'x') || '</h1><script>var a = "' || source || '";</script><p>' || lang || '</p></body></html>' AS html FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL)
+@query(r"""WITH x AS (SELECT doc_id, '<html><head><style>p {x}</style></head><body><h1>' || coalesce(section, 'x') || '</h1><script>var a = "' || coalesce(source, '') || '";</script><p>' || replace(coalesce(text, ''), '<', '&lt;') || '</p></body></html>' AS html FROM documents)
 SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'), ' ') AS visible FROM x""")
 def html_visible_text(spark, sf_dir):
-    """Text a page shows."""
-    d = table(spark, sf_dir, "documents").where("lang is not null and source is not null")
-    html = F.concat(F.lit("<html><head><style>p {x}</style></head><body><h1>"), F.coalesce("section", F.lit("x")), F.lit('</h1><script>var a = "'), F.col("source"), F.lit('";</script><p>'), F.col("lang"), F.lit("</p></body></html>"))
-    return d.select("doc_id", text.visible_text(html).alias("visible"))
+    """Text that a page around every whole text shows."""
+    html = F.concat(F.lit("<html><head><style>p {x}</style></head><body><h1>"), F.coalesce("section", F.lit("x")), F.lit('</h1><script>var a = "'), F.coalesce("source", F.lit("")), F.lit('";</script><p>'), F.replace(F.coalesce("text", F.lit("")), F.lit("<"), F.lit("&lt;")), F.lit("</p></body></html>"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.visible_text(html).alias("visible"))
 
 
 @query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL""")
@@ -409,11 +408,10 @@ def json_fields(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k")).where("k is not null")
 
 
-_URLS = ["https://a.de/", "https://a.de/karriere/offene-stellen?x=1", "https://a.de/impressum#top", "http://b.com/news/2024", "https://b.com/company/about/", "https://c.fr/produits", "https://c.fr/produkte/tisch", "https://d.de/standorte", "https://d.de", "https://e.de/blog/1"]
+_URLS = ["https://a.de/", "https://a.de/karriere/offene-stellen?x=1", "https://a.de/impressum#top", "http://b.com/news/2024", "https://b.com/company/about/", "https://c.fr/produits", "https://c.fr/produkte/tisch", "https://d.de/standorte", "https://d.de", "https://e.de/blog/1", "https://f.de/nachhaltigkeit/bericht", "https://f.de/de/aktuelles"]
 
 
-@query(f"""SELECT url, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') AS clean, CASE WHEN regexp_matches(p, 'impressum|imprint|legal-notice') THEN 'imprint' WHEN regexp_matches(p, 'karriere|career|jobs|stellen') THEN 'careers' WHEN regexp_matches(p, 'news|presse|press') THEN 'news'
- WHEN regexp_matches(p, 'produkt|product|leistung|service') THEN 'products' WHEN regexp_matches(p, 'ueber|about|unternehmen|company') THEN 'about' WHEN regexp_matches(p, 'standort|location') THEN 'locations' WHEN p = '' OR p = '/' THEN 'home' END AS page_class
+@query(f"""SELECT url, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') AS clean, CASE {' '.join(f"WHEN regexp_matches(p, '{tokens}') THEN '{name}'" for name, tokens in labels.PAGE_CLASSES)} END AS page_class
 FROM (SELECT url, lower(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1)) AS p FROM (VALUES {', '.join(f"('{u}')" for u in _URLS)}) AS v(url))""")
 def url_classify(spark, sf_dir):
     """Page classes by path."""
@@ -430,13 +428,27 @@ def exact_dedup(spark, sf_dir):
     return segments.exact_copies(table(spark, sf_dir, "documents").where("text is not null"), "doc_id", "text")
 
 
-@query("""WITH p AS (SELECT vec_id, list_aggregate(list_transform(range(1, 49), lambda i: CASE WHEN embedding[i] > 0 THEN CAST(1 AS BIGINT) << (i - 1) ELSE 0 END), 'sum')::BIGINT AS bits FROM embeddings),
-r AS (SELECT bits, min(vec_id) AS k FROM p GROUP BY 1)
-SELECT x.k AS a, y.k AS b, CAST(bit_count(xor(x.bits, y.bits)) AS INT) AS distance FROM r x JOIN r y ON x.k < y.k WHERE bit_count(xor(x.bits, y.bits)) <= 7""")
+_PRINTS = """v AS (SELECT vec_id, embedding FROM embeddings UNION ALL SELECT vec_id + 1000000, list_transform(embedding, lambda x, i: CASE WHEN i <= vec_id % 9 THEN -x ELSE x END) FROM embeddings WHERE vec_id % 3 = 0),
+p AS (SELECT vec_id, array_to_string(list_transform(range(1, 65), lambda i: CASE WHEN embedding[i] > 0 THEN '1' ELSE '0' END), '')::BIT AS bits FROM v), r AS (SELECT bits, min(vec_id) AS k FROM p GROUP BY 1)"""
+
+
+def _prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sign fingerprints of all vectors, and of copies of every third one with up to eight of its components turned round."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    copies = e.where("vec_id % 3 = 0").select((F.col("vec_id") + 1_000_000).alias("vec_id"), F.expr("transform(embedding, (x, i) -> if(i < vec_id % 9, -x, x))").alias("embedding"))
+    return e.unionByName(copies).select("vec_id", F.expr(segments.sign_bits("embedding", 64)).alias("bits"))
+
+
+@query(f"""WITH {_PRINTS} SELECT x.k AS a, y.k AS b, CAST(bit_count(xor(x.bits, y.bits)) AS INT) AS distance FROM r x JOIN r y ON x.k < y.k WHERE bit_count(xor(x.bits, y.bits)) <= 7""")
 def near_dup_hamming(spark, sf_dir):
-    """Pairs of sign fingerprints of all 64 components within seven bits, complete by banding (the SQL reads the first 48)."""
-    p = table(spark, sf_dir, "embeddings").select("vec_id", F.expr(segments.sign_bits("embedding", 64)).alias("bits"))
-    return segments.near_fingerprints(p, "vec_id", "bits", 7, 8, 64).withColumn("distance", F.col("distance").cast("int"))
+    """Pairs of sign fingerprints of all 64 components within seven bits, complete by banding; near copies are planted."""
+    return segments.near_fingerprints(_prints(spark, sf_dir), "vec_id", "bits", 7, 8, 64).withColumn("distance", F.col("distance").cast("int"))
+
+
+@query()
+def near_dup_kept(spark, sf_dir):
+    """Prints that are kept when each is dropped that lies within seven bits of an earlier kept one (order-dependent: tested against plain Python)."""
+    return segments.kept_of_near(_prints(spark, sf_dir), "vec_id", "bits", 7, 8, 64)
 
 
 # Series ---------------------------------------------------------------------------------------------------------------
@@ -647,7 +659,7 @@ def segment_filter(spark, sf_dir):
     return segments.section_rows(d, ["doc_id"], ["row_no"], "line").select("doc_id", "row_no", "line", "section")
 
 
-@query("""WITH x AS (SELECT doc_id, '<a href="/' || source || '">x</a> <a href="https://h.de/' || coalesce(section, 'n') || '#a">y</a><a href="http://o.com/">z</a>' AS html FROM documents WHERE source IS NOT NULL),
+@query(r"""WITH x AS (SELECT doc_id, '<a href="/' || source || '">x</a> <a href="https://h.de/' || coalesce(section, 'n') || '#a">y</a><a href="http://o.com/">z</a>' AS html FROM documents WHERE source IS NOT NULL),
 l AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(html, '(?i)href\s*=\s*["'']([^"''#]+)', 1)) AS l FROM x)
 SELECT doc_id, CASE WHEN starts_with(l, '/') THEN 'https://h.de' || l ELSE l END AS link FROM l WHERE starts_with(l, '/') OR starts_with(l, 'https://h.de')""")
 def html_links(spark, sf_dir):

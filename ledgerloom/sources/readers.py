@@ -65,8 +65,8 @@ def job_postings(pages: DataFrame, url: str, html: str) -> DataFrame:
 
 
 def links(pages: DataFrame, url: str, html: str) -> DataFrame:
-    """url, link: distinct links of a page to its own host, relative ones made absolute."""
-    host = F.regexp_extract(url, r"^([a-z]+://[^/?#]+)", 1)
-    found = pages.select(F.col(url).alias("url"), host.alias("host"), F.explode(F.array_distinct(F.regexp_extract_all(html, F.lit(r'(?i)href\s*=\s*["\']([^"\'#]+)'), F.lit(1)))).alias("l"))
-    full = F.when(F.col("l").startswith("/"), F.concat("host", "l")).otherwise(F.col("l"))
-    return found.withColumn("link", full).where(F.col("link").startswith(F.col("host"))).select("url", "link")
+    """url, link: distinct links of a page to its own host, relative ones made absolute; the host must be equal, not only begin alike."""
+    origin = r"(?i)^([a-z]+://[^/?#]+)"
+    found = pages.select(F.col(url).alias("url"), F.lower(F.regexp_extract(url, origin, 1)).alias("host"), F.explode(F.array_distinct(F.regexp_extract_all(html, F.lit(r'(?i)href\s*=\s*["\']([^"\'#]+)'), F.lit(1)))).alias("l"))
+    full = F.when(F.col("l").startswith("//"), F.concat(F.regexp_extract("host", r"^([a-z]+:)", 1), F.col("l"))).when(F.col("l").startswith("/"), F.concat("host", "l")).otherwise(F.col("l"))
+    return found.withColumn("link", full).where(F.lower(F.regexp_extract("link", origin, 1)) == F.col("host")).select("url", "link")

@@ -58,6 +58,14 @@ def styled_cells(cells: DataFrame) -> DataFrame:
     return j.select("table_id", "row_no", "col_no", "text", indent.alias("indent"), (F.col("label").rlike(r"^[A-Z]\.\s|^(?i:summe|gesamt)")).alias("bold"), F.coalesce(F.col("row_no") == last, F.lit(False)).alias("is_total"))
 
 
+def sheet_names(tables: DataFrame, scope: list[str], heading: str, order: str, most: int = 31) -> DataFrame:
+    """``tables`` with sheet_name: the heading without characters a workbook forbids, cut so that a number that makes it unique still fits."""
+    base = F.regexp_replace(F.coalesce(heading, F.lit("")), r"[\[\]:*?/\\]", "_")
+    base = F.substring(F.when(base == "", "Table").otherwise(base), 1, most - 4)
+    n = F.row_number().over(Window.partitionBy(*scope, F.lower(base)).orderBy(order))
+    return tables.withColumn("sheet_name", F.concat(base, F.when(n == 1, "").otherwise(F.concat(F.lit("_"), n.cast("string")))))
+
+
 def filled_template(series: DataFrame, years: list[int]) -> DataFrame:
     """Long series (label, std_id, unit, fy, value) as the template's year columns; a line with several units is refused."""
     g = series.groupBy("label", "std_id").agg(F.countDistinct("unit").alias("n_units"), F.min("unit").alias("unit"), *[F.max(F.when(F.col("fy") == y, F.col("value"))).alias(str(y)) for y in years])

@@ -6,9 +6,10 @@ import os
 import duckdb
 import pytest
 
-from ledgerloom.plans import registers
+from ledgerloom.plans import registers, statements
 
-NAMES = sorted(registers.oracle_sql())
+QUERIES, SQL = registers.queries() | statements.queries(), registers.oracle_sql() | statements.oracle_sql()
+NAMES = sorted(SQL)
 
 
 @pytest.fixture(scope="module")
@@ -29,9 +30,9 @@ def plain(v):
 
 @pytest.mark.parametrize("name", NAMES)
 def test_against_sql(spark, sf, duck, name):
-    d = registers.queries()[name](spark, sf)
+    d = QUERIES[name](spark, sf)
     got = sorted((tuple(plain(r[c]) for c in sorted(d.columns)) for r in d.collect()), key=repr)
-    r = duck.execute(registers.oracle_sql()[name])
+    r = duck.execute(SQL[name])
     names = [x[0] for x in r.description]
     assert sorted(names) == sorted(d.columns)
     want = sorted((tuple(plain(x[names.index(c)]) for c in sorted(names)) for x in r.fetchall()), key=repr)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import segments, units
-from ledgerloom.plans import registers
+from ledgerloom.plans import filings, registers
 
 
 def test_carry_forward_reads_long_texts(spark, tmp_path):
@@ -49,8 +49,21 @@ def test_near_dup_hamming_reads_all_components(spark, tmp_path):
         reps.setdefault(tuple(v), i)
     far = lambda p, q: sum(x != y for x, y in zip(p, q, strict=True))
     want = {(i, j, far(p, q)) for p, i in reps.items() for q, j in reps.items() if i < j and far(p, q) <= 7}
-    got = registers.queries()["near_dup_hamming"](spark, str(tmp_path)).collect()
+    got = segments.near_fingerprints(filings._prints(spark, str(tmp_path)).where("vec_id < 1000000"), "vec_id", "bits", 7, 8).collect()
     assert {(r.a, r.b, r.distance) for r in got} == want and len(got) == len(want) >= 5
+    assert registers.queries()["near_dup_hamming"](spark, str(tmp_path)).count() > len(want)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_kept_of_near_is_greedy_by_key(spark, seed):
+    rnd = random.Random(seed)
+    prints = [rnd.getrandbits(16) & 0x0FFF for _ in range(80)]
+    d = spark.createDataFrame(list(enumerate(prints)), "k int, bits long")
+    kept = []
+    for i, p in enumerate(prints):
+        if all((p ^ prints[j]).bit_count() > 2 for j in kept):
+            kept.append(i)
+    assert sorted(r.k for r in segments.kept_of_near(d, "k", "bits", 2, 3, 16).where("kept").collect()) == kept
 
 
 @pytest.mark.parametrize(("n_bits", "distance", "bands"), [(48, 7, 8), (64, 8, 9), (10, 4, 7), (64, 0, 1), (5, 4, 5)])
