@@ -3,20 +3,24 @@
 A *source* here is a spelling of a unit: every spelling met in a unit column,
 in a sentence or in a sheet's remark is one node.  Rows that state one quantity
 under two spellings (the value column beside the amount its own sentence gives)
-link two nodes.  For each pair of nodes the scale is estimated robustly (median
-log ratio, the share of links that agree, and the median offset left after
-scaling), snapped to the known conversions, and propagated from the anchor
-``eur`` through the graph, strongest links first.  A spelling composed of known
-unit words carries one more link of fixed weight to the anchor, its definition,
-so spellings too rare for statistics are still reached.  Spellings that no path
-joins to the anchor (a spelling that names no currency needs many links that all but agree; pieces, heads, per cent, square metres) have no scale, and
-their rows no amount.
-
-All work but the propagation is JVM-side and aggregated.  Every pair with
-enough links counts, however small its share: the pairs are propagated in one
-task, whose memory grows with them, and the scale table goes back to the rows
-by a join on the spelling.  A spelling in no such pair has its definition, read
-off the spelling itself in its row.  Nothing reaches the driver.
+link two nodes.  ``pair_scales`` estimates a pair robustly (median log ratio,
+the share of links that agree, the median offset left after scaling).  For the
+propagation every link is a vote: its ratio, snapped to the known conversions,
+says what one spelling is worth in the other, and a link that is none of them,
+or that leaves an offset beyond the tolerance, votes against.  From the anchor
+``eur`` on, a spelling is accepted by the votes of all its accepted neighbours
+together, the clearest first; so many weak pairs add up, and a few wrong
+statements are outvoted.  A spelling composed of known unit words has some
+votes of the anchor more, its definition, so spellings too rare for statistics
+are still reached.  Spellings that no path joins to the anchor (one that names
+no currency needs many votes that all but agree; pieces, heads, per cent, square
+metres) have no scale, and their rows no amount.
+
+All work but the propagation is JVM-side and aggregated.  Every link counts,
+however rare its spellings: the votes, one row per pair and ratio, are
+propagated in one task, whose memory grows with them, and the scale table goes
+back to the rows by a join on the spelling.  A spelling in no such pair has its
+definition, read off the spelling itself in its row.  Nothing reaches the driver.
 
 Defined results: an amount marked as the prior year's or the plan's is not the
 fact's own; a null or blank unit is no unit; null sentences state nothing; a
@@ -27,8 +31,8 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import defaultdict
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -159,34 +163,67 @@ def defined(name: Column) -> Column:
     return F.when(F.contains(name, F.lit("eur")) & scale.isin(*CONVERSIONS), scale.cast("int"))
 
 
-def propagate(pairs: list[tuple[str, str, int, float, float]], names: list[str], anchor: str = "eur") -> dict[str, float]:
-    """Scale to the anchor of every spelling a path reaches, strongest links first (a maximum spanning tree from the anchor)."""
-    near: dict[str, list[tuple[float, str, float]]] = defaultdict(list)
-    for a, b, n, scale, agreement in pairs:
-        money = "eur" in a and "eur" in b
-        if scale and n >= (LEAST_LINKS if money else 10 * LEAST_LINKS) and agreement >= (AGREEMENT if money else STRICT_AGREEMENT):
-            weight = n * (2 * agreement - 1) ** 2
-            near[a].append((weight, b, 1 / scale))
-            near[b].append((weight, a, scale))
-    for name in {*names, *near}:
-        if (s := defined_scale(name)) is not None and name != anchor:
-            near[anchor].append((DEFINITION_WEIGHT, name, s))
-            near[name].append((DEFINITION_WEIGHT, anchor, 1 / s))
-    found = {anchor: 1.0}
-    heap = [(-w, b, s) for w, b, s in near[anchor]]
-    heapq.heapify(heap)
+def votes(links: DataFrame) -> DataFrame:
+    """a, b, k, n: links by pair and by the power of ten they say b's value is of a's; k is null where no conversion fits."""
+    use = links.where("x != 0 and y != 0 and a is not null and b is not null and a != b")
+    exponent = F.log10(F.abs(F.col("y")) / F.abs(F.col("x")))
+    k = F.round(exponent / 3).cast("int") * 3
+    fits = (F.abs(exponent - k) <= TOLERANCE) & (F.abs(k) <= 9)
+    return use.groupBy("a", "b", F.when(fits, k).alias("k")).agg(F.count("*").alias("n"))
+
+
+def propagate(said: list[tuple[str, str, int | None, int]], anchor: str = "eur", defined: Callable[[str], float | None] = defined_scale) -> dict[str, float]:
+    """Scale to the anchor of every spelling that the votes (a, b, k, n) of its accepted neighbours carry, the clearest first.
+
+    A currency's spelling needs ``LEAST_LINKS`` votes, ``AGREEMENT`` of them for one scale, or, when nothing else is left,
+    two that all agree; another spelling ten times as many, and ``STRICT_AGREEMENT``.
+    """
+    near: dict[str, list[tuple[str, int | None, int]]] = defaultdict(list)
+    for a, b, k, n in said:
+        near[a].append((b, k, n))
+        near[b].append((a, None if k is None else -k, n))
+    known = [int(math.log10(c)) for c in CONVERSIONS]
+    pool: dict[str, Counter] = defaultdict(Counter)
+    for name in near:
+        if name != anchor and (c := defined(name)) is not None:
+            pool[name][int(math.log10(c))] += DEFINITION_WEIGHT
+    found: dict[str, int] = {}
+    heap: list[tuple[float, str, int]] = []
+
+    def offer(name: str) -> None:
+        """What the votes so far make of a spelling: weight (0 to 1 for a last resort) and power of ten."""
+        total = sum(pool[name].values())
+        best, n = max(((k, n) for k, n in pool[name].items() if k in known), key=lambda x: (x[1], -x[0]), default=(0, 0))
+        money = "eur" in name
+        if n and total >= (LEAST_LINKS if money else 10 * LEAST_LINKS) and n >= (AGREEMENT if money else STRICT_AGREEMENT) * total:
+            heapq.heappush(heap, (-float(2 * n - total), name, best))
+        elif money and n >= 2 and n == total:
+            heapq.heappush(heap, (-1 / (LEAST_LINKS - n + 1), name, best))
+
+    def accept(name: str, power: int) -> None:
+        found[name] = power
+        for other, k, n in near[name]:
+            if other not in found:
+                # ``other`` holds 10**k times the number that ``name`` holds, so one of it is worth 10**-k of that.
+                pool[other][None if k is None else power - k] += n
+                offer(other)
+
+    for name in pool:
+        offer(name)
+    accept(anchor, 0)
     while heap:
-        _, name, scale = heapq.heappop(heap)
+        weight, name, power = heapq.heappop(heap)
         if name in found:
             continue
-        snapped = min(CONVERSIONS, key=lambda c: abs(math.log10(c / scale)))
-        if abs(math.log10(snapped / scale)) > TOLERANCE:
+        before = len(heap)
+        offer(name)  # votes that came later may have changed the mind
+        if len(heap) == before:
+            continue
+        now = max((x for x in heap if x[1] == name), key=lambda x: -x[0])
+        if now[0] > weight or now[2] != power:
             continue
-        found[name] = snapped
-        for w, b, s in near[name]:
-            if b not in found:
-                heapq.heappush(heap, (-w, b, snapped * s))
-    return found
+        accept(name, power)
+    return {name: 10.0**power for name, power in found.items()}
 
 
 def sheet_units(notes: DataFrame) -> DataFrame:
@@ -213,12 +250,11 @@ def scale_graph(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = pair_scales(links)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = propagate([tuple(r) for b in batches for r in b.itertuples(index=False)], [])
+        said = [(r.a, r.b, None if r.k != r.k else int(r.k), int(r.n)) for b in batches for r in b.itertuples(index=False)]
+        found = propagate(said)
         yield pd.DataFrame({"name": list(found), "scale": [int(v) for v in found.values()]})
 
-    # What propagate cannot use stays behind: pairs with fewer links than any pair needs, or less agreement.
-    usable = pairs.where((F.col("n") >= LEAST_LINKS) & (F.col("agreement") >= AGREEMENT)).select("a", "b", "n", "scale", "agreement")
-    return pairs, usable.repartition(1).mapInPandas(run, "name string, scale int")
+    return pairs, votes(links).repartition(1).mapInPandas(run, "name string, scale int")
 
 
 def to_euro_cents(facts: DataFrame, notes: DataFrame) -> DataFrame:

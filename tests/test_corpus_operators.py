@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import hierarchy, history, units
 from ledgerloom.plans import corpus
-from ledgerloom.session import Scratch
+from ledgerloom.session import Scratch, table
 
 
 def plain_hierarchy(rows):
@@ -128,10 +128,28 @@ def test_units_without_notes_or_facts(spark):
 
 
 def test_scales_are_learned_from_links():
-    pairs = [("xeur", "eur", 200, 1000.0, 0.99), ("xeur", "yeur", 50, 1.0, 1.0), ("stück", "eur", 3, 1.0, 1.0)]
-    s = units.propagate(pairs, ["tsdeur"])
-    assert (s["xeur"], s["yeur"], s["tsdeur"]) == (1000.0, 1000.0, 1000.0)
-    assert "stück" not in s
+    said = [("eur", "xeur", -3, 190), ("eur", "xeur", None, 10), ("xeur", "yeur", 0, 50), ("stück", "eur", 0, 3), ("eur", "zeur", -6, 2), ("zeur", "weur", 0, 2), ("weur", "xeur", 3, 1), ("eur", "veur", -3, 2), ("xeur", "veur", -3, 1)]
+    s = units.propagate(said)
+    assert (s["xeur"], s["yeur"], s["zeur"], s["weur"]) == (1e3, 1e3, 1e6, 1e6)
+    assert "stück" not in s and "veur" not in s
+
+
+def test_many_wrong_pairs_are_outvoted():
+    # Three of nine links of a spelling the dictionary does not know were read as single euros.
+    said = [("qeur", "eur", 0, 2), ("qeur", "eur", 3, 1), ("qeur", "keur", 0, 3), ("qeur", "teur", 0, 1), ("qeur", "eurk", 0, 2), ("keur", "eur", 3, 20), ("teur", "eur", 3, 20), ("eurk", "teur", 0, 9)]
+    assert units.propagate(said, defined=lambda name: None)["qeur"] == 1e3
+
+
+def test_the_links_alone_carry_the_scales(spark, sf, monkeypatch):
+    d = sf.replace("0.001", "0.1")
+    facts, notes = table(spark, d, "lagebericht_facts"), table(spark, d, "sheet_notes")
+    rows = units.prepared(facts, notes).persist()
+    with_words = {r.name: r.scale for r in units.scale_graph(rows)[1].collect()}
+    links = rows.where("own is not null and value is not null").select(F.col("own.unit").alias("a"), F.coalesce("u", "su").alias("b"), F.col("own.number").cast("double").alias("x"), F.col("value").alias("y"))
+    said = [tuple(r) for r in units.votes(links).collect()]
+    rows.unpersist()
+    assert {k: int(v) for k, v in units.propagate(said, defined=lambda name: None).items()} == with_words
+    assert len(with_words) > 20
 
 
 def test_queries_run_on_whole_tables(spark, sf):
