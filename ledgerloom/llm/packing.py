@@ -3,12 +3,17 @@
 Sizes are tokens.  A text longer than the capacity is split into full pieces
 and a rest; nothing else is ever split.  Each source is a queue in a fixed
 order.  Deficit round-robin gives a source ``share * window`` tokens of every
-window and carries what a whole item overdraws or leaves into the next window;
-summed up, the item whose tokens begin at position p of its queue is served in
-window ``floor(p / (share * window))``.  That closed form needs only a running
-sum per queue, which is computed in two levels (sums of hash blocks, then
-within a block), so deficits carry across windows and partitions without any
-task holding a queue.
+window and carries what a whole item overdraws or leaves into the next window.
+Summed up, the item whose tokens begin at position p of its queue is served at
+time p / share; by that time all queues together have served
+``V(t) = sum(min(share * t, tokens))``, a queue that runs dry leaving its part of
+every later window to the others, and the window is ``floor(V / window)``.  That
+closed form needs only a running sum per queue, which is computed in two levels
+(sums of hash blocks, then within a block), so deficits carry across windows and
+partitions without any task holding a queue.
+
+Target proportions are given per source; sources without one share what is left
+by their tokens, and without any the mixture is the sources' natural one.
 
 A window has a bounded number of tokens, so its items are packed best-fit
 decreasing in one group of bounded size.  Containers are numbered by window.
@@ -21,6 +26,7 @@ broken by key; an empty table gives an empty result.
 from __future__ import annotations
 
 import bisect
+import math
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -30,6 +36,7 @@ from ledgerloom.session import Scratch
 
 CAPACITY = 2_048
 WINDOW = 256
+BLOCK_BITS, BLOCK_ITEMS = 10, 50_000
 
 
 def pieces(sized: DataFrame, key: str, source: str, capacity: int = CAPACITY) -> DataFrame:
@@ -40,19 +47,35 @@ def pieces(sized: DataFrame, key: str, source: str, capacity: int = CAPACITY) ->
     return cut.select("key", "source", "piece_no", (F.col("piece_no") * capacity).alias("first_token"), F.least(F.lit(capacity), F.col("n") - F.col("piece_no") * capacity).alias("n_tokens"))
 
 
-def mixture_windows(items: DataFrame, shares: DataFrame, window_tokens: int) -> DataFrame:
-    """``items`` with window_no, by deficit round-robin over the source queues. ``shares``: source, share."""
+def mixture_shares(totals: DataFrame, target: dict[str | None, float] | None) -> DataFrame:
+    """source, tokens, share: the target's share of a source, or its part, by tokens, of what the target leaves (of all, if it leaves nothing)."""
+    named = {k: v for k, v in (target or {}).items() if v > 0}
+    left = max(0.0, 1.0 - sum(named.values())) or 1.0
+    rows = [(k, v) for k, v in named.items()]
+    wanted = totals.sparkSession.createDataFrame(rows, f"s {dict(totals.dtypes)['source']}, wanted double") if rows else None
+    t = totals.join(F.broadcast(wanted), F.col("source").eqNullSafe(F.col("s")), "left").drop("s") if rows else totals.withColumn("wanted", F.lit(None).cast("double"))
+    rest = t.agg(F.sum(F.when(F.col("wanted").isNull(), F.col("tokens"))).alias("rest"))
+    return t.crossJoin(F.broadcast(rest)).select("source", "tokens", F.coalesce("wanted", F.lit(left) * F.col("tokens") / F.col("rest")).alias("share"), F.col("wanted").isNotNull().alias("named"))
+
+
+def mixture_windows(items: DataFrame, shares: DataFrame, window_tokens: int, block_bits: int = BLOCK_BITS) -> DataFrame:
+    """``items`` with window_no, by deficit round-robin over the source queues. ``shares``: source, tokens, share, named."""
     spread = items.withColumn("order_key", F.xxhash64("key", "piece_no"))
     # Blocks split each queue by the order key's range, so no task ever holds a queue.
-    blocks = F.shiftrightunsigned("order_key", 64 - 10).cast("int")
+    blocks = F.shiftrightunsigned("order_key", 64 - block_bits).cast("int")
     b = spread.withColumn("block", blocks)
     sums = b.groupBy("source", "block").agg(F.sum("n_tokens").alias("tokens"))
     before = F.coalesce(F.sum("tokens").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sums.select(F.col("source").alias("s"), F.col("block").alias("k"), before.alias("offset"))
-    inside = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("source", "block").orderBy(F.shiftleft("order_key", 10), "key", "piece_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("source", "block").orderBy(F.shiftleft("order_key", block_bits), "key", "piece_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = b.withColumn("inside", inside).join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("k"))).drop("s", "k")
     given = placed.join(shares.select(F.col("source").alias("s"), "share"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    return given.withColumn("window_no", F.floor((F.col("offset") + F.col("inside")) / (F.col("share") * window_tokens)).cast("long")).drop("order_key", "block", "offset", "inside", "share")
+    # The sources without a target run dry together, so they are one queue here: as many queues as targets, and one.
+    queues = shares.groupBy(F.when(F.col("named"), F.xxhash64("source")).alias("q")).agg(F.sum("share").alias("share"), F.sum("tokens").cast("double").alias("tokens"))
+    all_queues = queues.agg(F.collect_list(F.struct("share", "tokens")).alias("queues"))
+    served = F.aggregate("queues", F.lit(0.0), lambda v, q: v + F.least(q["share"] * F.col("time"), q["tokens"]))
+    timed = given.withColumn("time", (F.col("offset") + F.col("inside")) / F.col("share")).crossJoin(F.broadcast(all_queues))
+    return timed.withColumn("window_no", F.floor(served / window_tokens).cast("long")).drop("order_key", "block", "offset", "inside", "share", "time", "queues")
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[int]:
@@ -70,18 +93,19 @@ def best_fit(sizes: list[int], capacity: int) -> list[int]:
     return where
 
 
-def pack(sized: DataFrame, key: str, source: str, capacity: int = CAPACITY, window: int = WINDOW) -> DataFrame:
+def pack(sized: DataFrame, key: str, source: str, capacity: int = CAPACITY, window: int = WINDOW, share: dict[str | None, float] | None = None) -> DataFrame:
     """container_id, window_no, ``key``, ``source``, piece_no, first_token, n_tokens.
 
-    ``sized`` has ``key``, ``source`` and n_tokens. Target proportions are the
-    sources' shares of all tokens; a window holds ``window`` capacities.
+    ``sized`` has ``key``, ``source`` and n_tokens. ``share`` holds target
+    proportions of sources (None for the natural ones); a window holds ``window`` capacities.
     """
     scratch = Scratch(sized.sparkSession, "packing")
     items = scratch.write(pieces(sized, key, source, capacity), "items")
     full = items.where("n_tokens > 0")
-    totals = full.groupBy("source").agg(F.sum("n_tokens").alias("t"))
-    shares = totals.crossJoin(F.broadcast(totals.agg(F.sum("t").alias("all")))).select("source", (F.col("t") / F.col("all")).alias("share"))
-    windows = mixture_windows(full, shares, capacity * window)
+    shares = scratch.write(mixture_shares(full.groupBy("source").agg(F.sum("n_tokens").alias("tokens")), share), "shares")
+    # Blocks grow in number with the queues: a few ten thousand items each, whatever their total.
+    bits = max(BLOCK_BITS, math.ceil(math.log2(max(1, items.count()) / BLOCK_ITEMS)))
+    windows = mixture_windows(full, shares, capacity * window, bits)
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n_tokens", "key", "piece_no"], ascending=[False, True, True], ignore_index=True)

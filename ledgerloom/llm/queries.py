@@ -42,6 +42,13 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes.agg(F.count("*").alias("n_containers"), F.sum("t").alias("n_tokens"), (1 - F.sum("t") / (F.count("*") * packing.CAPACITY)).alias("unused_share"), F.max("t").alias("fullest"))
 
 
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of every source in every window when reports are to make up half of each and notes a fifth."""
+    sized = tokens.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text", ["source"])
+    rows = packing.pack(sized, "doc_id", "source", share={"lagebericht": 0.5, "anhang": 0.2}).where("container_id >= 0")
+    return rows.groupBy("window_no", "source").agg(F.sum("n_tokens").alias("n_tokens"), F.countDistinct("container_id").alias("n_containers"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are, or hold, template residue, filler, error pages or script demands."""
     documents = tokens.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -49,7 +56,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p9_mixture": p9_mixture, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -78,6 +78,20 @@ def test_mixture_holds_in_every_window(spark):
     assert all(abs(r.x - 0.25) < 0.05 for r in share)
 
 
+def test_a_queue_that_runs_dry_leaves_its_part_to_the_others(spark):
+    # "a" has a quarter of the tokens but half of the mixture, so it is dry after half of the windows; "b" and null share the rest.
+    d = spark.range(8000).select(F.col("id").alias("k"), F.when(F.col("id") % 4 == 0, "a").when(F.col("id") % 4 == 1, F.lit(None)).otherwise("b").alias("s"), (F.col("id") % 37 + 10).cast("int").alias("n_tokens"))
+    p = packing.pack(d, "k", "s", capacity=100, window=50, share={"a": 0.5})
+    of = lambda c: F.coalesce(F.sum(F.when(c, F.col("n_tokens"))) / F.sum("n_tokens"), F.lit(0.0))
+    w = p.groupBy("window_no").agg(of(F.col("s") == "a").alias("a"), of(F.col("s") == "b").alias("b"), F.sum("n_tokens").alias("t")).orderBy("window_no").collect()
+    total = sum(r.t for r in w)
+    assert p.count() == 8000 and len(w) > 30
+    wet = [r for r in w if (r.window_no + 1) * 5000 < total * 0.48]
+    dry = [r for r in w if r.window_no * 5000 > total * 0.52]
+    assert all(abs(r.a - 0.5) < 0.05 and abs(r.b - 1 / 3) < 0.05 for r in wet) and all(r.a == 0 and abs(r.b - 2 / 3) < 0.05 for r in dry[:-1])
+    assert all(abs(r.t - 5000) < 300 for r in w[:-1])
+
+
 def test_packing_cases(spark):
     d = spark.createDataFrame([(1, None, 0), (2, "a", 5000), (3, None, 2048), (4, "a", 1)], "k long, s string, n_tokens int")
     rows = sorted((r.k, r.piece_no, r.first_token, r.n_tokens, r.container_id >= 0) for r in packing.pack(d, "k", "s").collect())
