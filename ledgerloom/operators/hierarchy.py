@@ -6,9 +6,12 @@ subtrees.  Messages are pre-aggregated before the shuffle, so a parent of a
 third of all rows costs one row per task.  Once the living rest is small
 (``core_rows``, counted from the written table's footers) its remaining rounds
 run in one task; as long as it is not, distributed rounds go on, so no size
-breaks the operator.  What cannot be peeled contains the cycles.  The rounds
-are then taken back in reverse order: every node gets its path, depth and root
-from its parent.  A code below a cycle inherits the cycle mark the same way.
+breaks the operator (a tree takes as many rounds as it is high, and no tree is
+higher than its paths, which are part of the result, are long).  What cannot be
+peeled contains the cycles.  The rounds are then taken back in reverse order:
+every node gets its path, depth and root from its parent.  A code below a cycle
+inherits the cycle mark the same way.  Children of a parent with more than
+``skew.HOT_ROWS`` of them meet it by broadcast.
 
 Defined results: codes and parents compare trimmed and without case; a null or
 blank code is no node; of several rows for one code the one with the smallest
@@ -18,6 +21,7 @@ names itself is a cycle.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,12 +29,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.operators import skew
 from ledgerloom.session import Scratch
 
 CORE_ROWS = 200_000
 ROUNDS_BEFORE_CORE = 4
 OUT = "key string, up string, code string, size long, path array<string>"
-CHUNK = 5_000
+CHUNK = 200_000
 
 
 def tidy_key(c: Column) -> Column:
@@ -59,24 +64,48 @@ def _solve_core(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         heads = np.unique(up[told])
         wave = heads[pending[heads] == 0]
     code = rest["code"].tolist()
-    path: list[list[str] | None] = [None] * n
-    for i in reversed(order):
-        if up[i] < 0:
-            path[i] = [code[i]]
-        elif path[up[i]] is not None:
-            path[i] = [*path[up[i]], code[i]]
-    for at in range(0, n, CHUNK):
-        to = min(n, at + CHUNK)
-        yield pd.DataFrame({"key": rest["key"].iloc[at:to], "up": rest["up"].iloc[at:to], "code": code[at:to], "size": size[at:to], "path": path[at:to]})
-
-
-def build_hierarchy(df: DataFrame, code: str, parent: str, order: str, core_rows: int = CORE_ROWS) -> DataFrame:
+    children: dict[int, list[int]] = defaultdict(list)
+    peeled = np.zeros(n, dtype=bool)
+    peeled[order] = True
+    for i in np.flatnonzero(peeled & (up >= 0)).tolist():
+        children[int(up[i])].append(i)
+    rows: list[tuple[int, list[str] | None]] = [(i, None) for i in np.flatnonzero(~peeled).tolist()]
+    # What hangs below a cycle is in it; the trees are walked depth first with one path, given out in chunks of bounded length.
+    lost = [i for i, _ in rows]
+    while lost:
+        below = children.pop(lost.pop(), [])
+        rows += [(i, None) for i in below]
+        lost += below
+    used = 0
+
+    def chunk() -> pd.DataFrame:
+        at = [i for i, _ in rows]
+        return pd.DataFrame({"key": rest["key"].iloc[at].to_numpy(), "up": rest["up"].iloc[at].to_numpy(), "code": rest["code"].iloc[at].to_numpy(), "size": size[at], "path": [p for _, p in rows]})
+
+    path: list[str] = []
+    stack = [(int(i), 0) for i in np.flatnonzero(peeled & (up < 0))]
+    code = rest["code"].tolist()
+    while stack:
+        i, depth = stack.pop()
+        del path[depth:]
+        path.append(code[i])
+        rows.append((i, list(path)))
+        used += depth + 1
+        stack += [(x, depth + 1) for x in children.get(i, [])]
+        if used > CHUNK:
+            yield chunk()
+            rows, used = [], 0
+    if rows:
+        yield chunk()
+
+
+def build_hierarchy(df: DataFrame, code: str, parent: str, order: str, core_rows: int = CORE_ROWS, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
     """One row per node: key, code, root_code, depth, path (array), n_descendants, in_cycle."""
     scratch = Scratch(df.sparkSession, "hierarchy")
     named = df.select(F.col(code).alias("code"), tidy_key(F.col(code)).alias("key"), tidy_key(F.col(parent)).alias("up"), F.col(order).alias("o")).where(F.col("key") != "")
     nodes = named.groupBy("key").agg(F.min(F.struct("o", "code", "up")).alias("v")).select("key", "v.code", "v.up")
-    known = nodes.select(F.col("key").alias("known"))
-    linked = nodes.join(known, F.col("up") == F.col("known"), "left").select("key", "code", F.col("known").alias("up"))
+    nodes = scratch.write(nodes, "nodes")
+    linked = skew.join_unique(nodes, "up", nodes.select(F.col("key").alias("known")), "known", hot_rows).select("key", "code", F.col("known").alias("up"))
     linked = scratch.write(linked, "linked")
     kids = linked.where("up is not null").groupBy(F.col("up").alias("k")).agg(F.count("*").alias("pending"))
     alive = linked.join(kids, F.col("key") == F.col("k"), "left").select("key", "up", "code", F.lit(0).cast("long").alias("size"), F.coalesce("pending", F.lit(0)).alias("pending"))
@@ -101,11 +130,11 @@ def build_hierarchy(df: DataFrame, code: str, parent: str, order: str, core_rows
     done = scratch.write(done, "core")
     finished = [done]
     for i, leaves in reversed(list(enumerate(peeled))):
-        above = finished[0] if len(finished) == 1 else finished[0]
+        above = finished[0]
         for other in finished[1:]:
             above = above.unionByName(other)
         heads = above.select(F.col("key").alias("k"), F.col("path").alias("head"))
-        placed = leaves.join(heads, F.col("up") == F.col("k"), "left").select(
+        placed = skew.join_unique(leaves, "up", heads, "k", hot_rows).select(
             "key", "up", "code", "size",
             F.when(F.col("up").isNull(), F.array("code")).otherwise(F.concat("head", F.array("code"))).alias("path"),
         )

@@ -33,18 +33,27 @@ def plain_hierarchy(rows):
     return {name[k]: (*v, below[k] if v[1] >= 0 else -1) for k, v in out.items()}
 
 
-def got_hierarchy(spark, rows, core):
+def got_hierarchy(spark, rows, core, hot=100_000):
     d = spark.createDataFrame(rows, "o int, code string, parent string")
-    return {r.code: (r.root_code, r.depth, r.path or [], r.n_descendants) for r in hierarchy.build_hierarchy(d, "code", "parent", "o", core).collect()}
+    return {r.code: (r.root_code, r.depth, r.path or [], r.n_descendants) for r in hierarchy.build_hierarchy(d, "code", "parent", "o", core, hot).collect()}
 
 
-@pytest.mark.parametrize("core", [0, 5, 200_000])
-def test_hierarchy_against_plain_python(spark, core):
+@pytest.mark.parametrize(("core", "hot"), [(0, 100_000), (0, 4), (5, 100_000), (200_000, 4)])
+def test_hierarchy_against_plain_python(spark, core, hot):
     rnd = random.Random(7)
     rows = [(i, f"N{i}", f" n{rnd.randrange(i)}\t" if i and rnd.random() < 0.9 else None) for i in range(60)]
     rows += [(100 + i, f"C{i}", f"c{(i + 1) % 3}") for i in range(3)] + [(110, "below", "C0"), (111, "self", "SELF"), (112, "lost", "nowhere"), (113, "N5", "lost"), (114, None, "N1"), (115, " ", "N1")]
     rows += [(200 + i, f"D{i}", f"D{i + 1}") for i in range(30)]
-    assert got_hierarchy(spark, rows, core) == plain_hierarchy(rows)
+    rows += [(300 + i, f"L{i}", "N3") for i in range(12)] + [(400, "under", "below")]
+    assert got_hierarchy(spark, rows, core, hot) == plain_hierarchy(rows)
+
+
+def test_a_long_chain_in_the_core(spark):
+    n = 3_000
+    rows = [(i, f"K{i}", f"K{i + 1}" if i + 1 < n else None) for i in range(n)]
+    d = spark.createDataFrame(rows, "o int, code string, parent string")
+    r = hierarchy.build_hierarchy(d, "code", "parent", "o").agg(F.max("depth"), F.max("n_descendants"), F.sum(F.size("path"))).first()
+    assert tuple(r) == (n - 1, n - 1, n * (n + 1) // 2)
 
 
 def test_hierarchy_of_nothing(spark):
