@@ -102,6 +102,11 @@ def export_number(text: Column) -> Column:
     return F.coalesce(F.when(text.rlike(r"^-?\d+\.\d{1,2}$"), _double(text)), parse_cell(text))
 
 
+def leading_number(text: Column) -> Column:
+    """Digits a text begins with, as a number."""
+    return F.nullif(F.regexp_extract(text, r"^\s*(\d+)", 1), F.lit("")).try_cast("int")
+
+
 def start_year(text: Column) -> Column:
     """First year a period names (2019/2020, 'vom 1.7.2019 bis zum 30.6.2020': 2019)."""
     return F.nullif(F.regexp_extract(text, rf"({YEAR})", 1), F.lit("")).cast("int")

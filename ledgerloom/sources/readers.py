@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import labels
+
 TABLE_JSON = "array<struct<index:int,heading:string,type:int,framework:string,pnl_method:string,doc_label:string,page_start:int,page_end:int,rows:array<array<string>>>>"
 
 
@@ -14,17 +16,17 @@ def extracted_tables(spark: SparkSession, path: str) -> DataFrame:
     One row per table: filing_id (file name), table_id (hash of file and index), and the fields of the list.
     Files that are no such JSON come out as one row with null fields, so that they can be counted.
     """
-    files = spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.json)?$", 1).alias("filing_id"), F.regexp_replace("value", "^\\x{FEFF}", "").alias("body"))
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.json)?$", 1).alias("filing_id"), F.regexp_replace("value", "^\\x{FEFF}", "").alias("body"))
     items = F.when(F.col("body").rlike(r"^\s*\["), F.from_json("body", TABLE_JSON)).otherwise(F.from_json("body", f"struct<tables:{TABLE_JSON}>")["tables"])
     each = files.select("filing_id", F.explode_outer(items).alias("t"))
     return each.select("filing_id", F.xxhash64("filing_id", "t.index").alias("table_id"), "t.*")
 
 
 def layered_csv(spark: SparkSession, paths: list[str], key: str, encoding: str = "UTF-8") -> DataFrame:
-    """Dictionaries with a header line; of several rows for a key the one in the last file counts, and in it the last row."""
+    """Dictionaries with a header line; of several rows for a key the one in the last file counts, and in it the last row (by place in the file, however it is split)."""
     out = None
     for i, path in enumerate(paths):
-        d = spark.read.option("header", True).option("encoding", encoding).csv(path).withColumn("__layer", F.lit(i)).withColumn("__row", F.monotonically_increasing_id())
+        d = spark.read.option("header", True).option("encoding", encoding).csv(path).select("*", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("n")).alias("__row")).withColumn("__layer", F.lit(i))
         out = d if out is None else out.unionByName(d, allowMissingColumns=True)
     w = Window.partitionBy(key).orderBy(F.desc("__layer"), F.desc("__row"))
     return out.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__layer", "__row")
@@ -64,6 +66,38 @@ def job_postings(pages: DataFrame, url: str, html: str) -> DataFrame:
     return first.dropDuplicates(["url", "title"])
 
 
+def entity_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records of JSON stores, each an object with a list under 'records'; broken files give no record."""
+    body = spark.read.text(path, wholetext=True)
+    return body.select(F.explode(F.from_json("value", f"struct<records:array<struct<{schema}>>>")["records"]).alias("r")).select("r.*")
+
+
+def lookup_key(query: Column) -> Column:
+    """Key of a delivered lookup: trimmed, lower case, without closing slashes."""
+    return F.regexp_replace(F.lower(F.trim(query)), "/+$", "")
+
+
+def lookups(queries: DataFrame, answers: DataFrame, query: str) -> DataFrame:
+    """``queries`` with the delivered answer of the same key; both have ``query``."""
+    a = answers.withColumn("__key", lookup_key(F.col(query))).drop(query)
+    return queries.withColumn("__key", lookup_key(F.col(query))).join(a, "__key", "left").drop("__key")
+
+
+def register_results(rows: DataFrame, title: str, note: str) -> DataFrame:
+    """Result rows that are financial filings; amendments and corrections are left out."""
+    amended = F.coalesce(F.lower(note).rlike("berichtig|änderung"), F.lit(True))
+    return rows.where(F.lower(title).rlike("abschluss|bericht") & ~amended)
+
+
+def pages_by_class(pages: DataFrame, url: str, order: str) -> tuple[DataFrame, DataFrame]:
+    """The first page of every class a host has (host, page_class, url), and the pages skipped."""
+    host = F.lower(F.regexp_extract(url, r"(?i)^[a-z]+://([^/?#]+)", 1))
+    d = pages.select(host.alias("host"), labels.url_class(F.col(url)).alias("page_class"), F.col(url).alias("url"), F.col(order).alias("__o"))
+    n = F.row_number().over(Window.partitionBy("host", "page_class").orderBy("__o"))
+    d = d.withColumn("__n", F.when(F.col("page_class").isNotNull(), n))
+    return d.where("__n = 1").select("host", "page_class", "url"), d.where("__n is null or __n > 1").select("host", "url")
+
+
 def links(pages: DataFrame, url: str, html: str) -> DataFrame:
     """url, link: distinct links of a page to its own host, relative ones made absolute; the host must be equal, not only begin alike."""
     origin = r"(?i)^([a-z]+://[^/?#]+)"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import labels
@@ -25,6 +25,64 @@ def quoted(text: Column) -> Column:
     return F.when(text.rlike('[",\\r\\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
 
 
+def csv_with_mark(rows: DataFrame, path: str) -> None:
+    """Rows to CSV that spreadsheet programs read as UTF-8: every file begins with a byte order mark, in the header's first name."""
+    first, *rest = rows.columns
+    rows.select(F.col(first).alias("\ufeff" + first), *rest).write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
+
+
+def append_rows(rows: DataFrame, path: str, order: str = "at") -> None:
+    """Rows to an append-only store; readers take the last row of a key by ``order``."""
+    rows.withColumn(order, F.current_timestamp()).write.mode("append").json(path)
+
+
+def segment_queue(reviews: DataFrame, path: str) -> None:
+    """Review rows (sheet, reason) of segment sheets, rewritten by every run."""
+    reviews.select("sheet", "reason").orderBy("sheet", "reason").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def feedback_manifest(tables: DataFrame, key: str, note: str, path: str) -> None:
+    """One manifest row per reported table (key, content hash, note), appended."""
+    body = F.to_json(F.struct(*[c for c in tables.columns if c != note]))
+    append_rows(tables.select(F.col(key).cast("string").alias("key"), F.sha2(body, 256).alias("sha"), F.col(note).alias("note")), path)
+
+
+def asset_manifest(pictures: DataFrame, path: str) -> None:
+    """Pictures kept once per content: id and place of the first, number of copies, as JSON lines in id order."""
+    g = pictures.groupBy("sha").agg(F.min("path").alias("path"), F.min("length").alias("length"), F.count("*").alias("n_copies"))
+    g.select(F.concat(F.lit("asset-"), F.substring("sha", 1, 12)).alias("id"), "sha", "path", "length", "n_copies").orderBy("id").coalesce(1).write.mode("overwrite").json(path)
+
+
+def audit_companion(entries: DataFrame, by: list[str], path: str) -> None:
+    """Audit entries as one JSON line per group, in order of slot and document."""
+    rest = [c for c in entries.columns if c not in by]
+    entries.groupBy(*by).agg(F.array_sort(F.collect_set(F.struct(*rest))).alias("entries")).write.mode("overwrite").json(path)
+
+
+def replace_json(spark: SparkSession, rows: DataFrame, path: str) -> None:
+    """Rewrite a JSON store in one step: written beside it, then swapped by renames; a reader never sees a part."""
+    fs, jvm = _files(spark, path), spark.sparkContext._jvm.org.apache.hadoop.fs
+    fresh, old = f"{path}.new", f"{path}.old"
+    rows.write.mode("overwrite").json(fresh)
+    fs.delete(jvm.Path(old), True)
+    if fs.exists(jvm.Path(path)):
+        fs.rename(jvm.Path(path), jvm.Path(old))
+    fs.rename(jvm.Path(fresh), jvm.Path(path))
+    fs.delete(jvm.Path(old), True)
+
+
+def _files(spark: SparkSession, path: str):  # noqa: ANN202
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def audit_workbook(actuals: DataFrame, tables: DataFrame, scope: list[str]) -> dict[str, DataFrame]:
+    """The sheets of an audit workbook as tables: overview (codes by year), raw sheets with unique names, mapping audit (labels by code)."""
+    overview = actuals.groupBy(*scope, "std_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("year", "value")))).alias("values"))
+    raw = sheet_names(tables, scope, "heading", "table_id").select(*scope, "table_id", "sheet_name")
+    audit = actuals.groupBy(*scope, "std_id").agg(F.array_sort(F.collect_set("label")).alias("labels"), F.countDistinct("year").alias("n_years"))
+    return {"overview": overview, "raw": raw, "audit": audit}
+
+
 def review_queue(entries: DataFrame, path: str, key: str, order: str) -> None:
     """Distinct unresolved labels, the first seen of each; the queue is rewritten by every run."""
     w = Window.partitionBy(key).orderBy(order)
@@ -66,7 +124,11 @@ def sheet_names(tables: DataFrame, scope: list[str], heading: str, order: str, m
     return tables.withColumn("sheet_name", F.concat(base, F.when(n == 1, "").otherwise(F.concat(F.lit("_"), n.cast("string")))))
 
 
-def filled_template(series: DataFrame, years: list[int]) -> DataFrame:
-    """Long series (label, std_id, unit, fy, value) as the template's year columns; a line with several units is refused."""
-    g = series.groupBy("label", "std_id").agg(F.countDistinct("unit").alias("n_units"), F.min("unit").alias("unit"), *[F.max(F.when(F.col("fy") == y, F.col("value"))).alias(str(y)) for y in years])
-    return g.where("n_units <= 1").drop("n_units")
+def filled_template(series: DataFrame, years: list[int]) -> tuple[DataFrame, DataFrame]:
+    """Long series (label, std_id, unit, fy, value) as the template's year columns, and the lines refused: several units, or several values of a year."""
+    per_year = series.groupBy("label", "std_id", "fy").agg(F.countDistinct("value").alias("n"), F.max("value").alias("v"), F.collect_set("unit").alias("u"))
+    g = per_year.groupBy("label", "std_id").agg(F.array_distinct(F.flatten(F.collect_list("u"))).alias("units"), F.max("n").cast("int").alias("n_values"), *[F.max(F.when(F.col("fy") == y, F.col("v"))).alias(str(y)) for y in years])
+    d = g.withColumn("n_units", F.size("units")).withColumn("unit", F.array_min("units")).drop("units")
+    ok = (F.col("n_units") <= 1) & (F.col("n_values") <= 1)
+    years_of = [str(y) for y in years]
+    return d.where(ok).select("label", "std_id", "unit", *years_of), d.where(~ok).select("label", "std_id", "n_units", "n_values")

@@ -6,9 +6,9 @@ import os
 import duckdb
 import pytest
 
-from ledgerloom.plans import registers, statements
+from ledgerloom.plans import evidence, registers, statements
 
-QUERIES, SQL = registers.queries() | statements.queries(), registers.oracle_sql() | statements.oracle_sql()
+QUERIES, SQL = registers.queries() | statements.queries() | evidence.queries(), registers.oracle_sql() | statements.oracle_sql() | evidence.oracle_sql()
 NAMES = sorted(SQL)
 
 

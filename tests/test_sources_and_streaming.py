@@ -13,7 +13,7 @@ from tests.test_corpus_operators import RECORD, record
 def test_extracted_tables_json(spark, tmp_path):
     item = {"index": 1, "heading": "Bilanz 2024", "type": 0, "rows": [["", "2024", None], ["A", 1.5, "2"]]}
     (tmp_path / "a.json").write_text("﻿" + json.dumps([item, {**item, "index": 2}]), encoding="utf-8")
-    (tmp_path / "b.json").write_text(json.dumps({"tables": [item]}))
+    (tmp_path / "b.json").write_text(json.dumps({"tables": [item]}, indent=1))
     (tmp_path / "c.json").write_text("{broken")
     d = readers.extracted_tables(spark, str(tmp_path))
     assert sorted((r.filing_id, r["index"]) for r in d.where("heading is not null").collect()) == [("a", 1), ("a", 2), ("b", 1)]
@@ -61,7 +61,8 @@ def test_sinks(spark, tmp_path):
     assert sinks.cleared(m, "c", "a").count() == 3
     name = spark.range(1).select(sinks.snapshot_name(F.lit("Müller & Co")).alias("n")).first()[0]
     assert name.startswith("müller_co__") and name.endswith(".json")
-    t = sinks.filled_template(spark.createDataFrame([("l", "s", "EUR", 2023, 1.0), ("l", "s", "EUR", 2024, 2.0), ("m", "t", "EUR", 2024, 1.0), ("m", "t", "PCT", 2023, 1.0)], "label string, std_id string, unit string, fy int, value double"), [2023, 2024])
+    t, refused = sinks.filled_template(spark.createDataFrame([("l", "s", "EUR", 2023, 1.0), ("l", "s", "EUR", 2024, 2.0), ("m", "t", "EUR", 2024, 1.0), ("m", "t", "PCT", 2023, 1.0), ("n", "u", "EUR", 2024, 1.0), ("n", "u", "EUR", 2024, 3.0)], "label string, std_id string, unit string, fy int, value double"), [2023, 2024])
+    assert sorted(map(tuple, refused.collect())) == [("m", "t", 2, 1), ("n", "u", 1, 2)]
     assert [tuple(r) for r in t.collect()] == [("l", "s", "EUR", 1.0, 2.0)]
 
 
@@ -124,3 +125,46 @@ def test_reconcile_touched(spark):
     raw = spark.createDataFrame([("c", 2020, "k", 1.0, 1), ("c", 2020, "k", 2.0, 2), ("d", 2020, "k", 1.0, 3)], "company_normalized string, fiscal_year int, kind string, value double, fact_id int")
     out = incremental.reconcile_touched(raw, raw.where("fact_id = 2")).collect()
     assert len(out) == 2 and all(r.disputed for r in out)
+
+
+def test_more_sources(spark, tmp_path):
+    (tmp_path / "s.json").write_text(json.dumps({"version": 1, "records": [{"id": "a", "n": 1}, {"id": "b"}]}, indent=2))
+    (tmp_path / "t.json").write_text("{broken")
+    assert sorted(map(tuple, readers.entity_store(spark, str(tmp_path / "*.json"), "id:string,n:int").collect())) == [("a", 1), ("b", None)]
+    q = spark.createDataFrame([(" HTTPS://A.de// ",), ("x",)], "q string")
+    a = spark.createDataFrame([("https://a.de/", 7)], "q string, answer int")
+    assert sorted((r.q, r.answer) for r in readers.lookups(q, a, "q").collect()) == [(" HTTPS://A.de// ", 7), ("x", None)]
+    r = spark.createDataFrame([(1, "Konzernabschluss 2020", "x"), (2, "Jahresabschluss 2020", "Berichtigung"), (3, "Einladung", "x"), (4, "Jahresabschluss 2021", None)], "i int, title string, note string")
+    assert [x.i for x in readers.register_results(r, "title", "note").collect()] == [1]
+    pages = spark.createDataFrame([(1, "https://a.de/impressum"), (2, "https://a.de/imprint"), (3, "https://a.de/blog"), (4, "https://A.de/esg")], "n int, url string")
+    kept, skipped = readers.pages_by_class(pages, "url", "n")
+    assert sorted((x.page_class, x.url) for x in kept.collect()) == [("imprint", "https://a.de/impressum"), ("sustainability", "https://A.de/esg")]
+    assert sorted(x.url for x in skipped.collect()) == ["https://a.de/blog", "https://a.de/imprint"]
+    evil = spark.createDataFrame([("https://h.de/x", '<a href="https://h.de.evil.com/y">a</a><a href="//h.de/z">b</a><a href="HTTPS://H.DE/w">c</a>')], "url string, html string")
+    assert sorted(x.link for x in readers.links(evil, "url", "html").collect()) == ["HTTPS://H.DE/w", "https://h.de/z"]
+
+
+def test_more_sinks(spark, tmp_path):
+    p = lambda n: str(tmp_path / n)
+    d = spark.createDataFrame([("s", "b"), ("s", "a")], "sheet string, reason string")
+    sinks.csv_with_mark(d.coalesce(1), p("bom"))
+    assert next((tmp_path / "bom").glob("*.csv")).read_bytes().startswith(b"\xef\xbb\xbfsheet,")
+    sinks.segment_queue(d, p("queue"))
+    assert [r.reason for r in spark.read.option("header", True).csv(p("queue")).collect()] == ["a", "b"]
+    for _ in range(2):
+        sinks.feedback_manifest(spark.createDataFrame([(1, "x", "why")], "id int, body string, note string"), "id", "note", p("manifest"))
+    rows = spark.read.json(p("manifest")).collect()
+    assert len(rows) == 2 and len({r.sha for r in rows}) == 1
+    sinks.asset_manifest(spark.createDataFrame([("b.png", "ff", 3), ("a.png", "ff", 3)], "path string, sha string, length long"), p("assets"))
+    assert [(r.path, r.n_copies) for r in spark.read.json(p("assets")).collect()] == [("a.png", 2)]
+    sinks.audit_companion(spark.createDataFrame([("c", "s2", "d"), ("c", "s1", "d"), ("c", "s1", "d")], "company string, slot string, doc string"), ["company"], p("audit"))
+    assert [e.slot for e in spark.read.json(p("audit")).first().entries] == ["s1", "s2"]
+    for n in (1, 2):
+        sinks.replace_json(spark, spark.range(n), "file://" + p("store"))
+        assert spark.read.json(p("store")).count() == n
+    assert not (tmp_path / "store.new").exists() and not (tmp_path / "store.old").exists()
+    t = spark.createDataFrame([("c", 1, "A/B"), ("c", 2, "a:b"), ("c", 3, None), ("d", 4, "x" * 40)], "company string, table_id int, heading string")
+    a = spark.createDataFrame([("c", "k", 2020, "L", 1.0), ("c", "k", 2021, "M", 2.0)], "company string, std_id string, year int, label string, value double")
+    book = sinks.audit_workbook(a, t, ["company"])
+    assert sorted(r.sheet_name for r in book["raw"].collect()) == ["A_B", "Table", "a_b_2", "x" * 27]
+    assert book["audit"].first().labels == ["L", "M"] and book["overview"].first()["values"] == {2020: 1.0, 2021: 2.0}
