@@ -59,5 +59,11 @@ def queries() -> dict:
     return {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p9_mixture": p9_mixture, "p10_found": p10_found}
 
 
+_KEY = r"lower(trim(regexp_replace({c}, '[\s\x1c-\x1f\x85\p{Z}]+', ' ', 'g'), ' '))"
+_GROUPS = f"""p AS (SELECT coalesce(company_normalized, chr(0)) AS c, {_KEY.replace('{c}', 'member_key')} AS l, {_KEY.replace('{c}', 'target_key')} AS r FROM row_merges),
+v AS (SELECT * FROM p WHERE l <> '' AND r <> '' AND l <> r), e AS (SELECT c, l AS a, r AS b FROM v UNION SELECT c, r, l FROM v),
+reach AS (SELECT c, a, a AS b FROM e UNION SELECT reach.c, reach.a, e.b FROM reach JOIN e ON e.c = reach.c AND e.a = reach.b)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p4_found": f"WITH RECURSIVE {_GROUPS} SELECT nullif(c, chr(0)) AS company_normalized, a AS row_key, min(b) AS group_key FROM reach GROUP BY c, a"}
