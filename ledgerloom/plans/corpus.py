@@ -60,5 +60,30 @@ def queries() -> dict:
     return {"p2_found": p2_found, "p2_scales": p2_scales, "p3_found": p3_found, "p3_descendants": p3_descendants, "p6_found": p6_found, "p7_found": p7_found}
 
 
+_BLANK = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
+_TREE = rf"""named AS (SELECT node_id AS o, hgb_code AS code, lower(regexp_replace(hgb_code, '{_BLANK}', '', 'g')) AS key, lower(regexp_replace(parent_code, '{_BLANK}', '', 'g')) AS up FROM hgb_taxonomy),
+nodes AS (SELECT key, arg_min(code, o) AS code, arg_min(coalesce(up, ''), o) AS up FROM named WHERE key <> '' GROUP BY 1),
+linked AS (SELECT n.key, n.code, p.key AS up FROM nodes n LEFT JOIN nodes p ON p.key = n.up),
+w AS (SELECT key, code AS root_code, 0 AS depth, code AS path, [code] AS above FROM linked WHERE up IS NULL UNION ALL SELECT l.key, w.root_code, w.depth + 1, w.path || '/' || l.code, list_append(w.above, l.code) FROM w JOIN linked l ON l.up = w.key)"""
+_HISTORY = r"""t AS (SELECT entity_id, snapshot_date, legal_name, seat, historical_names, officer_changes, scope_changes FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, snapshot_date ORDER BY loaded_at DESC, snapshot_id DESC) AS k FROM entity_records WHERE entity_id IS NOT NULL AND snapshot_date IS NOT NULL) WHERE k = 1),
+stated AS (SELECT entity_id, 'legal_name' AS attribute, trim(regexp_replace(legal_name, '[\s\p{Z}]+', ' ', 'g'), ' ') AS entry, snapshot_date AS d FROM t UNION ALL SELECT entity_id, 'seat', trim(regexp_replace(seat, '[\s\p{Z}]+', ' ', 'g'), ' '), snapshot_date FROM t),
+turns AS (SELECT * FROM (SELECT *, lag(entry) OVER (PARTITION BY entity_id, attribute ORDER BY d) AS was FROM stated WHERE entry <> '') WHERE was IS NULL OR was <> entry),
+versions AS (SELECT entity_id, attribute, entry, CAST(d AS VARCHAR) AS valid_from, coalesce(CAST(lead(d) OVER (PARTITION BY entity_id, attribute ORDER BY d) AS VARCHAR), '') AS valid_to FROM turns),
+listed AS (SELECT entity_id, trim(regexp_replace(n, '[\s\p{Z}]+', ' ', 'g'), ' ') AS entry, snapshot_date AS d FROM (SELECT entity_id, snapshot_date, unnest(historical_names) AS n FROM t)),
+former AS (SELECT entity_id, 'legal_name' AS attribute, entry, '' AS valid_from, CAST(min(d) AS VARCHAR) AS valid_to FROM listed l WHERE entry <> '' AND NOT EXISTS (SELECT 1 FROM stated s WHERE s.attribute = 'legal_name' AND s.entity_id = l.entity_id AND s.entry = l.entry) GROUP BY 1, 3),
+c AS (SELECT entity_id, unnest(officer_changes) AS c FROM t), s AS (SELECT entity_id, unnest(scope_changes) AS c FROM t),
+told AS (SELECT entity_id, 'officer' AS attribute, unnest(c.officers_removed) AS n, c.effective_date AS d, 0 AS enters FROM c UNION ALL SELECT entity_id, 'officer', unnest(c.officers_added), c.effective_date, 1 FROM c
+  UNION ALL SELECT entity_id, 'scope', c.entity, c.effective_date, CASE lower(trim(c.change_kind, ' ')) WHEN 'left' THEN 0 WHEN 'entered' THEN 1 END FROM s),
+events AS (SELECT DISTINCT entity_id, attribute, trim(regexp_replace(n, '[\s\p{Z}]+', ' ', 'g'), ' ') AS entry, d, enters FROM told WHERE d IS NOT NULL AND enters IS NOT NULL),
+changes AS (SELECT * FROM (SELECT *, lag(enters) OVER (PARTITION BY entity_id, attribute, entry ORDER BY d, enters) AS was FROM events WHERE entry <> '') WHERE was IS NULL OR was <> enters),
+ended AS (SELECT *, lead(d) OVER (PARTITION BY entity_id, attribute, entry ORDER BY d, enters) AS next FROM changes),
+terms AS (SELECT entity_id, attribute, entry, CASE WHEN enters = 1 THEN CAST(d AS VARCHAR) ELSE '' END AS valid_from, coalesce(CAST(CASE WHEN enters = 1 THEN next ELSE d END AS VARCHAR), '') AS valid_to FROM ended WHERE enters = 1 OR was IS NULL)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p3_found": f"""WITH RECURSIVE {_TREE}, below AS (SELECT a AS code, count(*) - 1 AS n FROM (SELECT unnest(above) AS a FROM w) GROUP BY 1)
+SELECT l.code AS hgb_code, coalesce(w.root_code, 'CYCLE') AS root_code, coalesce(w.depth, -1) AS depth, coalesce(w.path, '') AS path, CAST(CASE WHEN w.key IS NULL THEN -1 ELSE b.n END AS INT) AS n_descendants FROM linked l LEFT JOIN w ON w.key = l.key LEFT JOIN below b ON b.code = l.code""",
+        "p3_descendants": f"""WITH RECURSIVE {_TREE} SELECT above[i] AS ancestor, above[len(above)] AS descendant, CAST(len(above) - i AS INT) AS distance FROM (SELECT above, unnest(range(1, len(above))) AS i FROM w)""",
+        "p6_found": f"WITH {_HISTORY} SELECT * FROM versions UNION ALL SELECT * FROM former UNION ALL SELECT * FROM terms",
+    }
