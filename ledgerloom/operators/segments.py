@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import numbers, text
+from ledgerloom.functions.once import once
 from ledgerloom.operators.series import carry_forward
 from ledgerloom.session import Scratch
 
@@ -24,10 +25,12 @@ def fact_sentences(rows: DataFrame, keys: list[str], body: str, sheet: str) -> D
 
     The unit of the sentence counts, else the one its text as a whole names.
     """
-    s = rows.select(*keys, F.col(sheet).alias("__sheet"), numbers.source_unit(F.col(body)).alias("__u"), F.posexplode(text.sentences(F.col(body))).alias("sentence_no", "sentence"))
-    unit = F.coalesce(numbers.source_unit(F.col("sentence")), F.col("__u"))
-    amounts = numbers.prose_amounts(F.col("sentence"), unit)
-    f = s.select(*keys, "sentence_no", "sentence", numbers.sheet_year(F.col("__sheet")).alias("fiscal_year"), amounts.alias("amounts"), F.when(F.size(amounts) > 0, unit).alias("source_unit"), F.explode(text.fact_kinds(F.col("sentence"))).alias("kind"))
+    s = rows.select(*keys, F.col(sheet).alias("__sheet"), F.col(body).alias("__body"), F.posexplode(text.sentences(F.col(body))).alias("sentence_no", "sentence"))
+    # Few sentences state a fact: the others are left out before anything else is read from them.
+    s = once(s, kinds=text.fact_kinds(F.col("sentence"))).where(F.size("kinds") > 0)
+    s = once(s, __unit=F.coalesce(numbers.source_unit(F.col("sentence")), numbers.source_unit(F.col("__body"))))
+    s = once(s, amounts=numbers.prose_amounts(F.col("sentence"), F.col("__unit"))).drop("__body")
+    f = s.select(*keys, "sentence_no", "sentence", numbers.sheet_year(F.col("__sheet")).alias("fiscal_year"), "amounts", F.when(F.size("amounts") > 0, F.col("__unit")).alias("source_unit"), F.explode("kinds").alias("kind"))
     c = F.col("sentence")
     return f.select(
         *keys, "sentence_no", "kind", "fiscal_year", F.get("amounts", F.lit(0)).alias("value"), F.get("amounts", F.lit(1)).alias("prior_year_value"), "source_unit",

@@ -20,7 +20,11 @@ def hot_keys(rows: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame |
 
 def join_unique(rows: DataFrame, key: str, table: DataFrame, on: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Left join of ``rows`` with ``table``, whose column ``on`` is unique: hot keys by broadcast of their few rows, the rest by shuffle."""
-    hot = hot_keys(rows, key, hot_rows)
+    return join_hot(rows, key, table, on, hot_keys(rows, key, hot_rows))
+
+
+def join_hot(rows: DataFrame, key: str, table: DataFrame, on: str, hot: DataFrame | None) -> DataFrame:
+    """``join_unique`` with hot keys that are known already."""
     if hot is None:
         return rows.join(table, F.col(key) == F.col(on), "left")
     few = hot.withColumnRenamed(key, "__hot")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import labels, numbers
+from ledgerloom.functions.once import once
 
 HEADER_ROWS = 10
 
@@ -20,41 +21,68 @@ def cells(tables: DataFrame) -> DataFrame:
     return rows.select("table_id", "row_no", F.posexplode("cells").alias("col_no", "text"))
 
 
-def year_blocks(grid: DataFrame) -> DataFrame:
-    """table_id, header_row, year, start_col, end_col: adjacent columns of one year make one block.
+def _no_cells() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _header(rows: Column) -> Column:
+    """struct(row, years): the first of the first rows with a year right of the first column, and the year of every cell of it; null without one."""
+    years = lambda r: F.transform(r, lambda c, i: F.when(i > 0, numbers.max_year(c)))
+    heads = F.transform(F.slice(rows, 1, HEADER_ROWS), lambda r, i: F.struct(i.alias("row"), years(F.coalesce(r, _no_cells())).alias("years"), r.alias("cells")))
+    return F.get(F.filter(heads, lambda h: F.exists(h["years"], lambda y: y.isNotNull())), F.lit(0))
+
+
+def _blocks(header: Column) -> Column:
+    """array<struct(block, year, start_col, end_col)> of a header row; a closing 'PDF Page' column belongs to no block."""
+    n = F.size(header["cells"])
+    paged = F.lower(F.trim(F.coalesce(F.element_at(header["cells"], -1), F.lit("")))) == "pdf page"
+    last = n - 1 - paged.cast("int")
+    found = F.filter(F.transform(header["years"], lambda y, i: F.struct(i.alias("col"), y.alias("year"))), lambda x: x["year"].isNotNull())
+    # Adjacent columns of one year make one block: a column opens one if the year before it is another.
+    opens = F.filter(found, lambda x, i: (i == 0) | (F.get(found, i - 1)["year"] != x["year"]))
+    return F.transform(opens, lambda x, i: F.struct(i.alias("block"), x["year"].alias("year"), x["col"].alias("start_col"), F.coalesce(F.get(opens, i + 1)["col"] - 1, last).alias("end_col")))
+
+
+def _gridded(tables: DataFrame) -> DataFrame:
+    """table_id, rows, header, blocks of the tables with a header; every step is evaluated once, and no cell leaves its row."""
+    d = once(tables.select("table_id", "heading", "rows"), header=_header(F.col("rows"))).where("header is not null")
+    return once(d, blocks=_blocks(F.col("header")))
+
+
+def year_blocks(tables: DataFrame) -> DataFrame:
+    """table_id, header_row, year, start_col, end_col, block: adjacent columns of one year make one block.
 
     The header is the first of the first rows with a year right of the first
     column; a closing 'PDF Page' column belongs to no block.
     """
-    hits = grid.where((F.col("row_no") < HEADER_ROWS) & (F.col("col_no") > 0)).withColumn("year", numbers.max_year(F.col("text"))).where("year is not null")
-    header = hits.groupBy("table_id").agg(F.min("row_no").alias("header_row"))
-    first = grid.join(header, "table_id").where("row_no = header_row")
-    w = Window.partitionBy("table_id")
-    wide = first.withColumn("last", F.max("col_no").over(w)).withColumn("is_page", (F.col("col_no") == F.col("last")) & (F.lower(F.trim(F.coalesce("text", F.lit("")))) == "pdf page"))
-    wide = wide.withColumn("last", F.col("last") - F.max(F.col("is_page").cast("int")).over(w)).withColumn("year", numbers.max_year(F.col("text")))
-    starts = wide.where((F.col("col_no") > 0) & F.col("year").isNotNull())
-    o = Window.partitionBy("table_id").orderBy("col_no")
-    new = F.coalesce((F.lag("year").over(o) != F.col("year")).cast("int"), F.lit(1))
-    blocks = starts.withColumn("island", F.sum(new).over(o.rowsBetween(Window.unboundedPreceding, 0))).groupBy("table_id", "header_row", "island", "year", "last").agg(F.min("col_no").alias("start_col"))
-    b = Window.partitionBy("table_id").orderBy("start_col")
-    return blocks.select("table_id", "header_row", "year", "start_col", F.coalesce(F.lead("start_col").over(b) - 1, F.col("last")).alias("end_col"), (F.row_number().over(b) - 1).alias("block"))
-
-
-def unit_multipliers(tables: DataFrame, grid: DataFrame) -> DataFrame:
-    """table_id, multiplier: 1000 where the heading or one of the first rows says thousands of euros."""
-    in_rows = grid.where(F.col("row_no") < HEADER_ROWS).groupBy("table_id").agg(F.max(numbers.thousand_euro(F.coalesce("text", F.lit(""))).cast("int")).alias("hit"))
-    heads = tables.select("table_id", numbers.thousand_euro(F.coalesce("heading", F.lit(""))).cast("int").alias("head"))
-    return heads.join(in_rows, "table_id", "left").select("table_id", F.when((F.col("head") == 1) | (F.col("hit") == 1), 1000.0).otherwise(1.0).alias("multiplier"))
-
-
-def block_values(tables: DataFrame, grid: DataFrame, blocks: DataFrame) -> DataFrame:
-    """table_id, row_no, label, year, value, priority: the first parseable cell of a row in each block; davon notes are left out."""
-    label = grid.where("col_no = 0").select(F.col("table_id").alias("lt"), F.col("row_no").alias("lr"), F.trim(F.coalesce("text", F.lit(""))).alias("label"))
-    in_block = grid.join(blocks, "table_id").where((F.col("row_no") > F.col("header_row")) & F.col("col_no").between(F.col("start_col"), F.col("end_col")))
-    scaled = in_block.join(unit_multipliers(tables, grid), "table_id").withColumn("value", numbers.parse_eur(F.col("text"), F.col("multiplier"))).where("value is not null")
-    first = scaled.groupBy("table_id", "row_no", "year", "block").agg(F.min_by("value", "col_no").alias("value"))
-    named = first.join(label, (F.col("table_id") == F.col("lt")) & (F.col("row_no") == F.col("lr"))).where(~labels.is_davon(F.col("label")))
-    return named.select("table_id", "row_no", "label", "year", "value", F.when(F.col("block") == 0, 0).otherwise(1).alias("priority"))
+    return _gridded(tables).select("table_id", F.col("header.row").alias("header_row"), F.explode("blocks").alias("b")).select("table_id", "header_row", "b.year", "b.start_col", "b.end_col", "b.block")
+
+
+def multiplier(heading: Column, rows: Column) -> Column:
+    """1000 where the heading or one of the first rows says thousands of euros, else 1."""
+    texts = F.flatten(F.transform(F.slice(F.coalesce(rows, F.array().cast("array<array<string>>")), 1, HEADER_ROWS), lambda r: F.coalesce(r, _no_cells())))
+    hit = F.exists(texts, lambda c: numbers.thousand_euro(F.coalesce(c, F.lit(""))))
+    return F.when(numbers.thousand_euro(F.coalesce(heading, F.lit(""))) | hit, 1000.0).otherwise(1.0)
+
+
+def unit_multipliers(tables: DataFrame) -> DataFrame:
+    """table_id, multiplier of every table."""
+    return tables.select("table_id", multiplier(F.col("heading"), F.col("rows")).alias("multiplier"))
+
+
+def block_values(tables: DataFrame) -> DataFrame:
+    """table_id, row_no, label, year, value, priority: the first parseable cell of a row in each block; davon notes are left out.
+
+    A table's rows are exploded once, with its blocks and its multiplier beside them; there is no join and no shuffle.
+    """
+    d = once(_gridded(tables), m=multiplier(F.col("heading"), F.col("rows")))
+    lines = d.select("table_id", "header", "blocks", "m", F.posexplode("rows").alias("row_no", "cells")).where("row_no > header.row and cells is not null")
+    label = F.trim(F.coalesce(F.get("cells", F.lit(0)), F.lit("")))
+    lines = once(lines, label=label).where(~labels.is_davon(F.col("label")))
+    each = lines.select("table_id", "row_no", "label", "m", "cells", F.explode("blocks").alias("b"))
+    inside = F.slice("cells", F.col("b.start_col") + 1, F.greatest(F.col("b.end_col") - F.col("b.start_col") + 1, F.lit(0)))
+    value = F.get(F.filter(F.transform(inside, lambda c: numbers.parse_eur(c, F.lit(1.0))), lambda v: v.isNotNull()), F.lit(0))
+    return once(each, v=value).where("v is not null").select("table_id", "row_no", "label", F.col("b.year").alias("year"), (F.col("v") * F.col("m")).alias("value"), F.when(F.col("b.block") == 0, 0).otherwise(1).alias("priority"))
 
 
 def within_table(values: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -83,8 +83,7 @@ SELECT t.table_id, CASE WHEN regexp_matches(lower(coalesce(heading, '')), 't(eur
 FROM extracted_tables t LEFT JOIN (SELECT table_id, bool_or(regexp_matches(lower(coalesce(text, '')), 't(eur|euro|sd\.?)|t€')) AS hit FROM cells WHERE row_no < 10 GROUP BY 1) h USING (table_id)""")
 def unit_multiplier(spark, sf_dir):
     """Thousands or single euros, per table."""
-    t, c = _cells(spark, sf_dir)
-    return tables.unit_multipliers(t, c)
+    return tables.unit_multipliers(table(spark, sf_dir, "extracted_tables"))
 
 
 @query(r"""SELECT source_unit, CASE WHEN regexp_matches(lower(source_unit), 't€|teur|teuro|t euro') THEN 'TEUR' WHEN regexp_matches(lower(source_unit), '€|eur') THEN 'EUR' END AS unit, count(*) AS n
@@ -229,12 +228,11 @@ facts AS (SELECT v.table_id, v.row_no, trim(coalesce(l.text, ''), ' ') AS label,
 @query(f"WITH {_CELLS}, {_BLOCKS} SELECT table_id, header_row, year, start_col, end_col, block FROM blocks")
 def year_blocks(spark, sf_dir):
     """Column blocks of fiscal years."""
-    return tables.year_blocks(_cells(spark, sf_dir)[1])
+    return tables.year_blocks(table(spark, sf_dir, "extracted_tables"))
 
 
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, c = _cells(spark, sf_dir)
-    return tables.block_values(t, c, tables.year_blocks(c))
+    return tables.block_values(table(spark, sf_dir, "extracted_tables"))
 
 
 @query(f"WITH {_CELLS}, {_NUMERIC}, {_BLOCKS}, {_VALUES} SELECT table_id, row_no, label, year, CAST(round(value * 100) AS BIGINT) AS cents, priority FROM facts")
@@ -278,8 +276,8 @@ def consolidated_actuals(spark, sf_dir):
 def subtotal_scan(spark, sf_dir):
     """Unlabelled rows that are, or are not, the sum of the lines above them (window depends on earlier matches: no SQL form)."""
     t, c = _cells(spark, sf_dir)
-    blocks = tables.year_blocks(c)
-    valued = tables.block_values(t, c, blocks)
+    blocks = tables.year_blocks(t)
+    valued = tables.block_values(t)
     every = c.where("col_no = 0").join(blocks.select("table_id", "header_row").distinct(), "table_id").where("row_no > header_row").select("table_id", "row_no", F.trim(F.coalesce("text", F.lit(""))).alias("label"))
     every = every.where(~labels.is_davon(F.col("label")))
     lines = every.join(valued.select("table_id", "row_no", "year", "value"), ["table_id", "row_no"], "left").withColumn("closing", F.lit(True)).select("table_id", "row_no", "label", F.coalesce("year", F.lit(0)).alias("year"), F.coalesce("value", F.lit(float("nan"))).alias("value"), "closing")

@@ -2,7 +2,7 @@
 
 import re
 
-from ledgerloom.operators.packed import separators, split_packed
+from ledgerloom.operators.packed import cut_fields, separators, split_packed
 from ledgerloom.session import table
 
 CLOSE = {'"': '"', "'": "'", "(": ")"}
@@ -85,10 +85,27 @@ def test_null_source_and_empty_table(spark):
 def test_a_mark_inside_pieces_is_no_separator(spark):
     fields = [f"A-{i}, B-{i}" for i in range(100)] + [f"A-{i}, §x§y§ B-{i}" for i in range(2)]
     d = spark.createDataFrame([(i, "s", f) for i, f in enumerate(fields)], "k int, src string, f string")
-    score = {r.sep: r.accepted for r in separators(d, "src", "f").collect()}
+    score = {r.sep: r.accepted for r in separators(cut_fields(d, "k", "src", "f")).collect()}
     assert score[","] and not score["§"]
 
 
 def test_clashing_columns(spark):
     d = spark.createDataFrame([(1, "s", "A-1; A-2", "x", "y")], "k int, src string, f string, item string, source string")
     assert [r.item for r in split_packed(d, "k", "src", "f").orderBy("item_no").collect()] == ["A-1", "A-2"]
+
+
+def test_a_source_may_have_a_shape_of_its_own(spark):
+    # The corpus's pieces look like A-1; one source, a fiftieth of all rows, writes #7#a and separates by "~".
+    rows = [(i, "many", f"A-{i}; B-{i}") for i in range(2_000)] + [(10_000 + i, "own", f"7 {i} x~8 {i} y") for i in range(40)]
+    d = spark.createDataFrame(rows, "k int, src string, f string")
+    got = {(r.k, r.item_no): r.item for r in split_packed(d, "k", "src", "f").where("k >= 10000").collect()}
+    assert len(got) == 80 and got[(10_003, 2)] == "8 3 y"
+
+
+def test_a_source_of_most_rows_is_hot(spark, monkeypatch):
+    from ledgerloom.operators import skew
+
+    d = spark.createDataFrame([(i, "big" if i % 3 else "small", f"A-{i}, B-{i}") for i in range(90)], "k int, src string, f string")
+    want = sorted(map(tuple, split_packed(d, "k", "src", "f").collect()))
+    monkeypatch.setattr(skew.hot_keys, "__defaults__", (5,))
+    assert sorted(map(tuple, split_packed(d, "k", "src", "f").collect())) == want and len(want) == 180
