@@ -77,7 +77,8 @@ def cut_fields(df: DataFrame, key: str, source: str, field: str) -> DataFrame:
 def common_shapes(cut: DataFrame, smoothing: float) -> DataFrame:
     """source, shapes: the piece shapes with a twentieth of a source's pieces, smoothed by the corpus; at most some twenty each."""
     pieces = cut.select("source", F.explode(F.filter("a", lambda x, i: i % 2 == 0)).alias("p")).select("source", _shape(F.col("p")).alias("shape")).where(F.col("shape").rlike("[A9]"))
-    n = pieces.groupBy("source", "shape").agg(F.count("*").alias("n"))
+    scratch = Scratch(cut.sparkSession, "shapes")
+    n = scratch.write(pieces.groupBy("source", "shape").agg(F.count("*").alias("n")), "counts")
     of_shape = n.groupBy("shape").agg(F.sum("n").alias("all_n"))
     total = n.agg(F.sum("n").alias("total"))
     of_source = n.groupBy("source").agg(F.sum("n").alias("source_n"))
@@ -85,10 +86,10 @@ def common_shapes(cut: DataFrame, smoothing: float) -> DataFrame:
     # A source's own shapes, and the corpus's whether it has them or not (at most 400 of them are frequent enough to count).
     own = n.join(of_source, "source").join(known, "shape", "left").select("source", "shape", "n", "source_n", F.coalesce("share", F.lit(0.0)).alias("share"))
     lent = of_source.crossJoin(F.broadcast(known.where("share >= 0.05"))).select("source", "shape", F.lit(0).cast("bigint").alias("n"), "source_n", "share")
-    both = own.groupBy("source", "shape", "n", "source_n", "share").agg(F.lit(1).alias("x")).drop("x").unionByName(lent)
+    both = scratch.write(own, "own").unionByName(scratch.write(lent, "lent"))
     g = both.groupBy("source", "shape").agg(F.max("n").alias("n"), F.max("source_n").alias("source_n"), F.max("share").alias("share"))
     common = (F.col("n") + smoothing * F.col("share")) * 20 >= F.col("source_n") + smoothing
-    return g.where(common).groupBy("source").agg(F.collect_set("shape").alias("shapes"))
+    return scratch.write(g.where(common).groupBy("source").agg(F.collect_set("shape").alias("shapes")), "common")
 
 
 def separators(cut: DataFrame, least: float = 0.4, smoothing: float = 20.0, hot: DataFrame | None = None) -> DataFrame:
