@@ -32,10 +32,10 @@ def children_semi(spark, sf_dir):
     return table(spark, sf_dir, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def anti_missing(spark, sf_dir):
-    """Customers without any order."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without any order in part."""
+    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
     return checks.untraced(table(spark, sf_dir, "customer").select("c_custkey"), o, ["c_custkey"])
 
 
@@ -79,11 +79,11 @@ def override_left(spark, sf_dir):
     return t.join(o, ["filing_id", "heading"], "left").select("table_id", F.coalesce("new_type", "table_type").alias("table_type"))
 
 
-@query("""WITH k AS (SELECT DISTINCT hgb_code FROM label_synonyms) SELECT alias_id, std_id FROM client_aliases WHERE trim(coalesce(std_id, ''), ' ') <> '' AND trim(std_id, ' ') NOT IN (SELECT hgb_code FROM k)""")
+@query("""WITH k AS (SELECT DISTINCT hgb_code FROM hgb_taxonomy WHERE statement = 'UKV') SELECT alias_id, std_id FROM client_aliases WHERE trim(coalesce(std_id, ''), ' ') <> '' AND trim(std_id, ' ') IN (SELECT hgb_code FROM k)""")
 def refused_aliases(spark, sf_dir):
-    """Confirmed aliases whose code the reference list does not have: must be empty."""
+    """Confirmed aliases that contradict the register of refusals (here: all codes of the other method)."""
     a = table(spark, sf_dir, "client_aliases").where("trim(coalesce(std_id, '')) != ''").withColumn("hgb_code", F.trim("std_id"))
-    return a.join(mapping.small(table(spark, sf_dir, "label_synonyms").select("hgb_code").distinct()), "hgb_code", "left_anti").select("alias_id", "std_id")
+    return a.join(mapping.small(table(spark, sf_dir, "hgb_taxonomy").where("statement = 'UKV'").select("hgb_code").distinct()), "hgb_code", "left_semi").select("alias_id", "std_id")
 
 
 @query("""SELECT client, client_label, arg_max(std_id, (entered_at, alias_id)) AS std_id FROM client_aliases WHERE client IS NOT NULL AND client_label IS NOT NULL AND std_id IS NOT NULL GROUP BY 1, 2""")

@@ -60,16 +60,17 @@ def _hits(lines: tuple[str, ...]) -> str:
     return " + ".join(f"CASE WHEN contains(labels, '{x}') THEN 1 ELSE 0 END" for x in lines)
 
 
-_AS_TABLES = """grids AS (SELECT company_normalized, doc_id, list_transform(list_prepend('head', string_split(text, '. ')), lambda s: [s]) AS rows FROM documents WHERE text IS NOT NULL AND company_normalized IS NOT NULL)"""
+_AS_TABLES = """grids AS (SELECT company_normalized, doc_id, list_transform(list_concat(list_prepend('head', string_split(text, '. ')), CASE lang WHEN 'de' THEN ['Materialaufwand', 'Personalaufwand'] WHEN 'en' THEN ['Umsatzkosten', 'Vertriebskosten'] ELSE [] END), lambda s: [s]) AS rows FROM documents WHERE text IS NOT NULL AND company_normalized IS NOT NULL)"""
 
 
 @query(f"""WITH {_AS_TABLES}, big AS (SELECT company_normalized, doc_id, {_FIRST.format(a=2, n=10_000)} AS labels FROM (SELECT *, row_number() OVER (PARTITION BY company_normalized ORDER BY len(rows) DESC, doc_id) AS k FROM grids) WHERE k = 1),
 h AS (SELECT company_normalized, doc_id, {_hits(statements.GKV_LINES)} AS g, {_hits(statements.UKV_LINES)} AS u FROM big)
 SELECT company_normalized, doc_id, CASE WHEN g >= 2 AND u < 2 THEN 'gkv' ELSE 'ukv' END AS pnl_method FROM h WHERE (g >= 2 AND u < 2) OR (u >= 2 AND g < 2)""")
 def method_signature(spark, sf_dir):
-    """Method that the lines of a company's longest text give away, its sentences taken as rows."""
+    """Method that the lines of a company's longest text give away, its sentences taken as rows, two lines planted by language."""
+    planted = F.when(F.col("lang") == "de", F.array(F.lit("Materialaufwand"), F.lit("Personalaufwand"))).when(F.col("lang") == "en", F.array(F.lit("Umsatzkosten"), F.lit("Vertriebskosten"))).otherwise(F.array().cast("array<string>"))
     d = table(spark, sf_dir, "documents").where("text is not null and company_normalized is not null")
-    grids = d.select("company_normalized", "doc_id", F.concat(F.array(F.array(F.lit("head"))), F.transform(F.split("text", r"\. "), lambda s: F.array(s))).alias("rows"))
+    grids = d.select("company_normalized", "doc_id", F.concat(F.array(F.array(F.lit("head"))), F.transform(F.concat(F.split("text", r"\. "), planted), lambda s: F.array(s))).alias("rows"))
     return statements.method_by_signature(grids, ["company_normalized"], "doc_id", "rows")
 
 
