@@ -61,6 +61,17 @@ def untraced(claims: DataFrame, evidence: DataFrame, keys: list[str]) -> DataFra
     return claims.join(evidence.select(*keys).distinct(), keys, "left_anti")
 
 
+def with_problems(rows: DataFrame, tests: list[tuple[Column, str]]) -> DataFrame:
+    """``rows`` with problems: the words of every test whose condition holds, so that all are reported at once."""
+    return rows.withColumn("problems", F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(True)), words) for bad, words in tests])))
+
+
+def accepted_whole(rows: DataFrame, group: list[str]) -> DataFrame:
+    """Rows of groups none of whose rows has problems: a group is taken as a whole or not at all."""
+    bad = rows.groupBy(*group).agg(F.max(F.size("problems")).alias("__n")).where("__n = 0").drop("__n")
+    return rows.join(bad, group, "left_semi").drop("problems")
+
+
 def missing_members(groups: DataFrame, present: DataFrame, key: str, member: str, required: list) -> DataFrame:
     """key, member for every required member a group lacks."""
     want = groups.select(key).distinct().withColumn(member, F.explode(F.array(*[F.lit(x) for x in required])))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import labels
@@ -37,18 +37,27 @@ def ambiguous_parents(links: DataFrame, child: str, parent: str) -> DataFrame:
     return links.where(F.col(parent).isNotNull()).groupBy(child).agg(F.countDistinct(parent).alias("n_parents")).where("n_parents > 1")
 
 
-def upsert(store: DataFrame, incoming: DataFrame, key: str, values: list[str], sets: list[str]) -> DataFrame:
-    """Store after the batch: incoming values win where not null, set columns are united."""
+def upsert(store: DataFrame, incoming: DataFrame, key: str, values: list[str], sets: list[str], renamed: dict[str, str] | None = None) -> DataFrame:
+    """Store after the batch: incoming values win where not null, set columns are united; of a ``renamed`` value the old text joins its set."""
     s, i = store.select(F.col(key).alias("__k"), *[F.col(c).alias(f"__s_{c}") for c in values + sets]), incoming.select(key, *values, *sets)
     j = i.join(s, F.col(key) == F.col("__k"), "full_outer")
     none = F.array().cast("array<string>")
     return j.select(
         F.coalesce(F.col(key), F.col("__k")).alias(key),
         *[F.coalesce(F.col(c), F.col(f"__s_{c}")).alias(c) for c in values],
-        *[F.array_sort(F.array_union(F.coalesce(F.col(c), none), F.coalesce(F.col(f"__s_{c}"), none))).alias(c) for c in sets],
+        *[F.array_sort(F.array_union(F.array_union(F.coalesce(F.col(c), none), F.coalesce(F.col(f"__s_{c}"), none)), _old(c, renamed, none))).alias(c) for c in sets],
     )
 
 
+def _old(into: str, renamed: dict[str, str] | None, none: Column) -> Column:
+    """The store's text of every value that is renamed into ``into`` by the batch."""
+    out = none
+    for value, target in (renamed or {}).items():
+        if target == into:
+            out = F.array_union(out, F.when(F.col(value) != F.col(f"__s_{value}"), F.array(f"__s_{value}")).otherwise(none))
+    return out
+
+
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of every key: the view of an append-only store."""
     w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])

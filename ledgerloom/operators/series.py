@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -44,9 +44,14 @@ def coverage(rows: DataFrame, keys: list[str], year: str) -> DataFrame:
     return g.withColumn("coverage", F.round(F.col("n_years") / F.col("span"), 6)).withColumn("confidence", F.when(F.col("n_years") == F.col("span"), 0.9).otherwise(0.6))
 
 
+def year_columns(year: str, value: str, years: list[int]) -> list[Column]:
+    """Aggregates of one column per year, named y<year>."""
+    return [F.sum(F.when(F.col(year) == y, F.col(value))).alias(f"y{y}") for y in years]
+
+
 def wide(rows: DataFrame, keys: list[str], year: str, value: str, years: list[int]) -> DataFrame:
     """One column per year, named y<year>; the years are given, so no pass is needed to find them."""
-    return rows.groupBy(*keys).agg(*[F.sum(F.when(F.col(year) == y, F.col(value))).alias(f"y{y}") for y in years])
+    return rows.groupBy(*keys).agg(*year_columns(year, value, years))
 
 
 def long(rows: DataFrame, keys: list[str], years: list[str]) -> DataFrame:

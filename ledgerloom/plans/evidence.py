@@ -285,6 +285,19 @@ def unique_last_wins(spark, sf_dir):
     return entities.latest(table(spark, sf_dir, "documents").where("published_at is not null"), ["company_normalized", "lang"], ["published_at", "doc_id"]).select("company_normalized", "lang", "doc_id")
 
 
+@query("""WITH p AS (SELECT company_normalized, fiscal_year, fact_id, CASE WHEN coalesce(trim(doc, ' ') = '', true) OR coalesce(kind NOT IN ('one_off', 'operating_result'), true) OR coalesce(value IS NULL, true) OR coalesce(direction NOT IN ('income', 'expense', 'unknown'), false) THEN 1 ELSE 0 END AS bad FROM lagebericht_facts WHERE company_normalized IS NOT NULL AND fiscal_year IS NOT NULL)
+SELECT company_normalized, fiscal_year, count(*) AS n FROM p GROUP BY 1, 2 HAVING sum(bad) = 0""")
+def accepted_years(spark, sf_dir):
+    """Years of a company whose rows are taken, since none has a problem (required field, known kind, number, enumerated direction)."""
+    f = _facts(spark, sf_dir).where("company_normalized is not null and fiscal_year is not null")
+    tests = [
+        (F.trim("doc") == "", "document missing"), (~F.col("kind").isin(*_REQUIRED), "unknown kind"), (F.col("value").isNull(), "no number"),
+        (F.coalesce(~F.col("direction").isin("income", "expense", "unknown"), F.lit(False)), "unknown direction"),
+    ]
+    keys = ["company_normalized", "fiscal_year"]
+    return checks.accepted_whole(checks.with_problems(f, tests), keys).groupBy(*keys).agg(F.count("*").alias("n"))
+
+
 @query("""SELECT sheet, count(*) AS n, string_agg(sheet || ' row ' || row_no || ': ' || note_text, chr(10) ORDER BY row_no, note_id) AS notes FROM sheet_notes WHERE sheet IS NOT NULL AND note_text IS NOT NULL GROUP BY 1""")
 def sheet_remarks(spark, sf_dir):
     """Remarks of every sheet as lines of text."""

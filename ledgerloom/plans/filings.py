@@ -507,19 +507,24 @@ def coverage_confidence(spark, sf_dir):
     return series.coverage(_order_years(spark, sf_dir), ["o_custkey"], "y").withColumn("confidence", F.col("confidence").cast("decimal(2,1)"))
 
 
-_YEARS = list(range(1995, 2002))
+_YEARS = list(range(1992, 2006))
 
 
-@query("SELECT o_custkey, " + ", ".join(f"sum(CASE WHEN year(o_orderdate) = {y} THEN CAST(o_totalprice AS DECIMAL(20,2)) END) AS y{y}" for y in _YEARS) + " FROM orders GROUP BY 1")
+@query("SELECT o_custkey, " + ", ".join(f"sum(CASE WHEN year(o_orderdate) = {y} THEN CAST(o_totalprice AS DECIMAL(20,2)) END) AS y{y}" for y in _YEARS) + f", sum(CASE WHEN year(o_orderdate) NOT BETWEEN {_YEARS[0]} AND {_YEARS[-1]} THEN CAST(o_totalprice AS DECIMAL(20,2)) END) AS other_years FROM orders GROUP BY 1")
 def pivot_grid(spark, sf_dir):
-    """Years as columns."""
-    return series.wide(_order_years(spark, sf_dir), ["o_custkey"], "y", "v", _YEARS)
+    """Years as columns, and what lies in other years, so that nothing is lost."""
+    years = _order_years(spark, sf_dir)
+    grid = years.groupBy("o_custkey").agg(*series.year_columns("y", "v", _YEARS), F.sum(F.when(~F.col("y").between(_YEARS[0], _YEARS[-1]), F.col("v"))).alias("other_years"))
+    return grid
 
 
-@query(f"""SELECT o_custkey, CAST(year(o_orderdate) AS INT) AS year, sum(CAST(o_totalprice AS DECIMAL(20,2))) AS value FROM orders WHERE year(o_orderdate) BETWEEN {_YEARS[0]} AND {_YEARS[-1]} GROUP BY 1, 2""")
+@query("""SELECT o_custkey, CAST(year(o_orderdate) AS INT) AS year, sum(CAST(o_totalprice AS DECIMAL(20,2))) AS value FROM orders GROUP BY 1, 2""")
 def unpivot_years(spark, sf_dir):
-    """Year columns back to rows."""
-    return series.long(pivot_grid(spark, sf_dir), ["o_custkey"], [f"y{y}" for y in _YEARS])
+    """Year columns back to rows; the columns are all years from the first to the last that occur."""
+    rows = _order_years(spark, sf_dir)
+    lo, hi = rows.agg(F.min("y"), F.max("y")).first()
+    years = list(range(lo, hi + 1)) if lo is not None else [_YEARS[0]]
+    return series.long(series.wide(rows, ["o_custkey"], "y", "v", years), ["o_custkey"], [f"y{y}" for y in years])
 
 
 @query("""SELECT company_normalized, source, lang, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY company_normalized, source, lang ORDER BY published_at, doc_id) AS n FROM documents) WHERE n = 1""")
@@ -657,13 +662,13 @@ def segment_filter(spark, sf_dir):
     return segments.section_rows(d, ["doc_id"], ["row_no"], "line").select("doc_id", "row_no", "line", "section")
 
 
-@query(r"""WITH x AS (SELECT doc_id, '<a href="/' || source || '">x</a> <a href="https://h.de/' || coalesce(section, 'n') || '#a">y</a><a href="http://o.com/">z</a>' AS html FROM documents WHERE source IS NOT NULL),
+@query(r"""WITH x AS (SELECT doc_id, '<a href="/' || coalesce(source, 'none') || '">x</a> <a href="https://h.de/' || coalesce(section, 'n') || '#a">y</a><a href="http://o.com/">z</a>' AS html FROM documents),
 l AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(html, '(?i)href\s*=\s*["'']([^"''#]+)', 1)) AS l FROM x)
 SELECT doc_id, CASE WHEN starts_with(l, '/') THEN 'https://h.de' || l ELSE l END AS link FROM l WHERE starts_with(l, '/') OR starts_with(l, 'https://h.de')""")
 def html_links(spark, sf_dir):
     """Links of a page to its own host."""
-    d = table(spark, sf_dir, "documents").where("source is not null")
-    html = F.concat(F.lit('<a href="/'), F.col("source"), F.lit('">x</a> <a href="https://h.de/'), F.coalesce("section", F.lit("n")), F.lit('#a">y</a><a href="http://o.com/">z</a>'))
+    d = table(spark, sf_dir, "documents")
+    html = F.concat(F.lit('<a href="/'), F.coalesce("source", F.lit("none")), F.lit('">x</a> <a href="https://h.de/'), F.coalesce("section", F.lit("n")), F.lit('#a">y</a><a href="http://o.com/">z</a>'))
     pages = d.select(F.concat(F.lit("https://h.de/"), F.col("doc_id")).alias("url"), html.alias("html"))
     return readers.links(pages, "url", "html").select(F.regexp_extract("url", r"(\d+)$", 1).cast("bigint").alias("doc_id"), "link")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import labels
+from ledgerloom.functions.text import visible_text
 
 TABLE_JSON = "array<struct<index:int,heading:string,type:int,framework:string,pnl_method:string,doc_label:string,page_start:int,page_end:int,rows:array<array<string>>>>"
 
@@ -66,6 +67,22 @@ def job_postings(pages: DataFrame, url: str, html: str) -> DataFrame:
     return first.dropDuplicates(["url", "title"])
 
 
+def card_jobs(pages: DataFrame, url: str, html: str) -> DataFrame:
+    """url, title, location of cards in HTML: list items, articles or divisions of a job class that hold a heading, without further ones inside."""
+    card = r"(?is)<(?:article|li|div)\b[^>]*class\s*=\s*[\"'][^\"']*(?:job|stelle|career)[^\"']*[\"'][^>]*>((?:(?!<(?:article|li|div)\b).)*?)</(?:article|li|div)>"
+    c = pages.select(F.col(url).alias("url"), F.explode(F.regexp_extract_all(html, F.lit(card), F.lit(1))).alias("card"))
+    title = visible_text(F.regexp_extract("card", r"(?is)<h[1-4]\b[^>]*>(.*?)</h[1-4]>", 1))
+    place = F.nullif(visible_text(F.regexp_extract("card", r"(?is)<[a-z]+\b[^>]*class\s*=\s*[\"'][^\"']*location[^\"']*[\"'][^>]*>(.*?)</", 1)), F.lit(""))
+    return c.select("url", title.alias("title"), place.alias("location")).where("title != ''").dropDuplicates(["url", "title"])
+
+
+def jobs_of_pages(pages: DataFrame, url: str, html: str) -> DataFrame:
+    """url, title: structured postings of a page, or, if it has none, its cards; one per title whatever its case."""
+    structured = job_postings(pages, url, html).select("url", "title")
+    cards = card_jobs(pages, url, html).select("url", "title").join(structured.select("url").distinct(), "url", "left_anti")
+    return structured.unionByName(cards).groupBy("url", F.lower("title").alias("__t")).agg(F.min("title").alias("title")).drop("__t")
+
+
 def entity_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Records of JSON stores, each an object with a list under 'records'; broken files give no record."""
     body = spark.read.text(path, wholetext=True)

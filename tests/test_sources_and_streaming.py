@@ -168,3 +168,19 @@ def test_more_sinks(spark, tmp_path):
     book = sinks.audit_workbook(a, t, ["company"])
     assert sorted(r.sheet_name for r in book["raw"].collect()) == ["A_B", "Table", "a_b_2", "x" * 27]
     assert book["audit"].first().labels == ["L", "M"] and book["overview"].first()["values"] == {2020: 1.0, 2021: 2.0}
+
+
+def test_jobs_from_cards_where_no_posting_is_structured(spark):
+    cards = '<ul><li class="job-item"><h3>Lead <b>Tax</b></h3><span class="location">Ulm</span></li><li class="job-item"><p>none</p></li><li class="x"><h3>No</h3></li><li class="job-item"><h3>LEAD TAX</h3></li></ul>'
+    both = '<script type="application/ld+json">{"@type":"JobPosting","title":"Dev"}</script>' + cards
+    d = spark.createDataFrame([("https://a.de", cards), ("https://b.de", both), ("https://c.de", None)], "url string, html string")
+    assert sorted((r.url, r.title, r.location) for r in readers.card_jobs(d.where("url like '%a.de'"), "url", "html").collect()) == [("https://a.de", "LEAD TAX", None), ("https://a.de", "Lead Tax", "Ulm")]
+    assert sorted(map(tuple, readers.jobs_of_pages(d, "url", "html").select("url", "title").collect())) == [("https://a.de", "LEAD TAX"), ("https://b.de", "Dev")]
+
+
+def test_a_renamed_entity_keeps_its_former_name(spark):
+    rows = "id string, name string, former array<string>"
+    store = spark.createDataFrame([("a", "Old", ["Older"]), ("b", "Same", None), ("c", "Kept", [])], rows)
+    new = spark.createDataFrame([("a", "New", None), ("b", "Same", ["X"]), ("d", None, None)], rows)
+    got = {r.id: (r.name, r.former) for r in entities.upsert(store, new, "id", ["name"], ["former"], {"name": "former"}).collect()}
+    assert got == {"a": ("New", ["Old", "Older"]), "b": ("Same", ["X"]), "c": ("Kept", []), "d": (None, [])}
