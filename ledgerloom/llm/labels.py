@@ -327,10 +327,11 @@ class Reference:
     def _codes(self, label: str, digraphs: bool = True) -> dict[str, int]:
         """Code -> least errors of the nearest codes; '' stands for pairs of a kind and an object that the list does not have.
 
-        The automaton is run with few errors first: whatever reads the label with k errors in all has at most k in either part.
+        The automaton is run with none and with one error first: whatever reads the label with k errors in all has at most k
+        in either part, and most labels need no more; for the others the full distance is cheaper than a level each.
         """
         out: dict[str, int] = {}
-        for most in range(MOST_ERRORS + 1):
+        for most in (0, 1, MOST_ERRORS):
             for (kind, thing), e in self._pairs(label, digraphs, most).items():
                 for code in self.codes.get((self.class_of[kind], thing), ("",)):
                     if (code or kind != self.alone) and e < out.get(code, 99):
