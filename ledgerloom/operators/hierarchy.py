@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import skew
@@ -109,7 +109,11 @@ def build_hierarchy(df: DataFrame, code: str, parent: str, order: str, core_rows
     linked = scratch.write(linked, "linked")
     kids = linked.where("up is not null").groupBy(F.col("up").alias("k")).agg(F.count("*").alias("pending"))
     alive = linked.join(kids, F.col("key") == F.col("k"), "left").select("key", "up", "code", F.lit(0).cast("long").alias("size"), F.coalesce("pending", F.lit(0)).alias("pending"))
-    alive = scratch.write(alive, "alive0")
+    watch = Observation()
+    alive = scratch.write(alive.observe(watch, F.max("pending").alias("most"), F.count("*").alias("n")), "alive0")
+    limit = max(hot_rows, watch.get["n"] // skew.HOT_SHARE)
+    # A parent of many children is hot in whatever round they leave.
+    hot = alive.where(F.col("pending") > limit).select(F.col("key").alias("up")) if (watch.get["most"] or 0) > limit else None
     left, peeled, stuck, r = alive.count(), [], False, 0
     while left and not stuck and (r < ROUNDS_BEFORE_CORE or left > core_rows):
         leaves = alive.where("pending = 0")
@@ -134,7 +138,7 @@ def build_hierarchy(df: DataFrame, code: str, parent: str, order: str, core_rows
         for other in finished[1:]:
             above = above.unionByName(other)
         heads = above.select(F.col("key").alias("k"), F.col("path").alias("head"))
-        placed = skew.join_unique(leaves, "up", heads, "k", hot_rows).select(
+        placed = skew.join_hot(leaves, "up", heads, "k", hot).select(
             "key", "up", "code", "size",
             F.when(F.col("up").isNull(), F.array("code")).otherwise(F.concat("head", F.array("code"))).alias("path"),
         )
