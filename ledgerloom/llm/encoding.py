@@ -17,11 +17,11 @@ garbled through every chain (the original must come back).
 A replacement character stands for a byte that is gone; a text holding one is
 affected and not restorable: it comes out as ''.
 
-Bounds: all n-grams of all words are counted; of the counts the model keeps the
-``MOST_GRAMS`` most frequent with a non-ASCII character, and as many without
-(``kept_mass`` says which share of all occurrences that is; on the given tables
-it is 1).  The margin is fitted on at most ``VALIDATION_WORDS`` words, which only
-sets one threshold.  The model is broadcast.  Everything else runs over all rows.
+Nothing is cut: all n-grams of all words are counted and all of them score, and
+the margin is fitted on all clean words.  A model of up to ``MOST_GRAMS`` n-grams
+is broadcast.  A larger one stays a table: distinct words are dealt into groups,
+and every group is given the counts that its words and their candidates need, so
+both ways score alike.
 
 Defined results: null and empty cells are skipped; plain ASCII text is never
 touched; an empty table gives an empty result.
@@ -36,14 +36,17 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.skew import join_unique
 from ledgerloom.session import Scratch
 
-MOST_GRAMS = 400_000
-VALIDATION_WORDS = 2_000
+#: N-grams of a model that is broadcast; gains sorted at once; rows a Python worker gathers before it hands them on.
+MOST_GRAMS, MOST_GAINS, GATHERED = 400_000, 100_000, 500_000
+#: Words of a task or group: scored as they are, and through all chains.
+WORDS_SCORED, WORDS_GARBLED = 2_000, 100
+FOREIGN = r"[\x{80}-\x{10FFFF}]"
 FIRST_MARGIN = 2.0
 SMOOTHING = 2.0
 LOST = "�"
@@ -138,9 +141,9 @@ def _floor(c: str) -> float:
 class Model:
     """Interpolated character trigrams over words."""
 
-    def __init__(self, grams: dict[str, float]):
-        self.g = grams
-        self.total = sum(v for k, v in grams.items() if len(k) == 1) or 1.0
+    def __init__(self, grams: dict[str, float], total: float):
+        """``grams``: counts, at least of all n-grams of the texts to score; ``total``: characters of the whole corpus."""
+        self.g, self.total = grams, total
 
     def score(self, word: str) -> float:
         g, k, out = self.g, SMOOTHING, 0.0
@@ -168,21 +171,81 @@ def grams_of(word: str) -> list[str]:
     return [*t, *(t[i : i + 2] for i in range(len(t) - 1)), *(t[i : i + 3] for i in range(len(t) - 2))]
 
 
-def _train(words: DataFrame, skip: Broadcast | None = None) -> DataFrame:
+def candidates(word: str) -> set[str]:
+    """All texts that ``Model.best`` scores for a word."""
+    return {word, *(repair(word) for _, repair, _ in CHAINS)}
+
+
+def garbled(word: str) -> set[str]:
+    """The word garbled through every chain that changes it."""
+    return {bad for _, _, garble in CHAINS if (bad := garble(word)) and bad != word}
+
+
+class Counts:
+    """A model as the table (gram, n) of its counts, held whole and broadcast where they are few."""
+
+    def __init__(self, grams: DataFrame):
+        n, total = grams.agg(F.count("*"), F.sum(F.when(F.length("gram") == 1, F.col("n")))).first()
+        self.grams, self.total = grams, float(total or 1)
+        self.whole = self._model(grams) if n <= MOST_GRAMS else None
+        self.shared = grams.sparkSession.sparkContext.broadcast(self.whole) if self.whole else None
+
+    def _model(self, grams: DataFrame) -> Model:
+        return Model({gram: float(n) for gram, n in grams.collect()}, self.total)
+
+    def best(self, word: str) -> tuple[str, float]:
+        """``Model.best`` of one word, for which a model that is not held whole is searched."""
+        model = self.whole or self._model(self.grams.where(F.col("gram").isin(sorted({g for t in candidates(word) for g in grams_of(t)}))))
+        return model.best(word)
+
+    def over(self, words: DataFrame, texts: Callable[[str], set[str]], run: Callable[[pd.DataFrame, Model], pd.DataFrame], schema: str, at_once: int) -> DataFrame:
+        """``run`` over all ``words`` (word is unique), ``at_once`` or so in a task or group; ``texts`` are all that it scores for a word."""
+        groups, total, shared = max(1, -(-words.count() // at_once)), self.total, self.shared
+        if shared is not None:
+
+            def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for b in batches:
+                    yield run(b, shared.value)
+
+            return (words.repartition(groups, "word") if groups > 1 else words).mapInPandas(whole, schema)
+
+        # Of a gram with a character that the corpus lacks there is no count.
+        letters = self.grams.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in self.grams.where(F.length("gram") == 1).select("gram").collect()))
+
+        def needed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            seen: set[tuple[int, str]] = set()
+            for b in batches:
+                for group, word in zip(b["group"], b["word"], strict=True):
+                    seen.update((group, gram) for gram in {g for t in texts(word) for g in grams_of(t)} if letters.value.issuperset(gram))
+                    if len(seen) > GATHERED:
+                        yield pd.DataFrame(list(seen), columns=["group", "gram"])
+                        seen.clear()
+            if seen:
+                yield pd.DataFrame(list(seen), columns=["group", "gram"])
+
+        grouped = words.withColumn("group", F.pmod(F.xxhash64("word"), F.lit(groups)))
+        wanted = grouped.select("group", "word").repartition("group").sortWithinPartitions("group").mapInPandas(needed, "group long, gram string").distinct()
+        known = wanted.join(self.grams, "gram").select("group", "gram", "n")
+
+        def part(b: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+            return run(b, Model(dict(zip(counts["gram"], counts["n"].astype(float), strict=True)), total))
+
+        return grouped.groupBy("group").cogroup(known.groupBy("group")).applyInPandas(part, schema)
+
+
+def _train(words: DataFrame) -> DataFrame:
     """Counts of all character 1- to 3-grams of ``words`` (word, n), without words that hold a run of
-    UTF-8 read as something else (a rare word would vouch for itself) or that ``skip`` finds garbled."""
+    UTF-8 read as something else (a rare word would vouch for itself)."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter[str] = Counter()
         for batch in batches:
             for word, n in zip(batch["word"], batch["n"], strict=True):
-                if skip is not None and not word.isascii() and skip.value.best(word)[1] > FIRST_MARGIN:
-                    continue
                 if not word.isascii() and (LOST in word or any(_utf8(word, r) != word for r in READ_AS)):
                     continue
                 for gram, m in Counter(grams_of(word)).items():
                     seen[gram] += m * int(n)
-            if len(seen) > 500_000:
+            if len(seen) > GATHERED:
                 yield pd.DataFrame({"gram": list(seen.keys()), "n": list(seen.values())})
                 seen.clear()
         if seen:
@@ -191,34 +254,45 @@ def _train(words: DataFrame, skip: Broadcast | None = None) -> DataFrame:
     return words.mapInPandas(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def _kept(grams: DataFrame) -> dict[str, float]:
-    """The most frequent grams with and without a character beyond ASCII, ties by text: a bounded model, whatever the corpus."""
-    foreign = F.col("gram").rlike(r"[\x{80}-\x{10FFFF}]")
-    top = lambda d: d.orderBy(F.desc("n"), "gram").limit(MOST_GRAMS).collect()
-    return {r[0]: float(r[1]) for r in [*top(grams.where(foreign)), *top(grams.where(~foreign))]}
+def _clean(words: pd.DataFrame, model: Model) -> pd.DataFrame:
+    """The words that a first model does not find garbled."""
+    return words.loc[[model.best(w)[1] <= FIRST_MARGIN for w in words["word"]], ["word", "n"]]
 
 
-def kept_mass(grams: DataFrame, model: Model) -> float:
-    """Share of all gram occurrences that the model's grams have."""
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    return sum(model.g.values()) / total if total else 1.0
+def _gains(words: pd.DataFrame, model: Model) -> pd.DataFrame:
+    """What clean words gain by being changed (not restored), and garbled ones by being restored, once for every chain."""
+    rows = []
+    for w in words["word"]:
+        gain = model.best(w)[1]
+        if gain > -math.inf:
+            rows.append((False, gain))
+        back = {bad: model.best(bad) for bad in garbled(w)}
+        rows += [(True, back[bad][1]) for _, _, garble in CHAINS if (bad := garble(w)) in back and back[bad][0] == w]
+    return pd.DataFrame(rows, columns=["restored", "gain"])
 
 
-def validated_margin(model: Model, clean: list[str]) -> float:
+def _smallest(gains: DataFrame, k: int) -> float:
+    """The ``k``-th smallest gain, from 0: the range that holds it is narrowed until few are left to sort."""
+    while True:
+        low, high, n = gains.agg(F.min("gain"), F.max("gain"), F.count("*")).first()
+        if low == high or n <= MOST_GAINS:
+            return low if low == high else sorted(r[0] for r in gains.select("gain").collect())[k]
+        part = F.least(F.floor((F.col("gain") - low) / (high - low) * 1000), F.lit(999))
+        for found, m in gains.groupBy(part.alias("part")).count().orderBy("part").collect():  # noqa: B007
+            if k < m:
+                break
+            k -= m
+        gains = gains.where(part == found)
+
+
+def validated_margin(gains: DataFrame) -> float:
     """The margin between what clean words gain by being changed and what garbled ones gain by being restored."""
-    false = sorted(g for w in clean if (g := model.best(w)[1]) > -math.inf)
-    true = []
-    for w in clean:
-        for _, _, garble in CHAINS:
-            bad = garble(w)
-            if bad and bad != w and (got := model.best(bad))[0] == w:
-                true.append(got[1])
-    if not true:
+    found = {r["restored"]: r for r in gains.groupBy("restored").agg(F.count("*").alias("n"), F.max("gain").alias("most")).collect()}
+    if True not in found:
         return 4.0
-    true.sort()
-    top = max(false, default=0.0)
+    top = found[False]["most"] if False in found else 0.0
     # Between the largest gain of a clean word and the gain that 99.5 % of the restorable garbled words exceed.
-    low = true[len(true) // 200]
+    low = _smallest(gains.where("restored"), found[True]["n"] // 200)
     return max(FIRST_MARGIN, (top + low) / 2 if low > top else top + 0.1)
 
 
@@ -229,21 +303,21 @@ def cells_of(tables: DataFrame) -> DataFrame:
     return rows.unionByName(heads).where("text is not null and text != ''")
 
 
-def fit(cells: DataFrame, scratch: Scratch) -> tuple[Model, float]:
+def fit(cells: DataFrame, scratch: Scratch) -> tuple[Counts, float]:
     """The clean-text model and its validated margin, from all cells."""
     digits: Column = F.regexp_replace("word", "[0-9]", "0")
     words = cells.select(F.explode(F.split("text", " ")).alias("word")).select(digits.alias("word")).where(F.col("word").rlike(r"[\p{L}\x{80}-\x{10FFFF}]"))
     words = scratch.write(words.groupBy("word").agg(F.count("*").alias("n")), "words")
-    share = cells.sparkSession.sparkContext.broadcast
-    first = Model(_kept(scratch.write(_train(words), "grams0")))
-    model = Model(_kept(scratch.write(_train(words, share(first)), "grams")))
-    # Clean words with other than plain characters, the most frequent first; ties by text.
-    frequent = words.where(F.col("word").rlike(r"[\x{80}-\x{10FFFF}]") & ~F.contains("word", F.lit(LOST))).orderBy(F.desc("n"), "word").limit(VALIDATION_WORDS).collect()
-    clean = [r[0] for r in frequent if first.best(r[0])[1] <= FIRST_MARGIN]
-    return model, validated_margin(model, clean)
+    foreign = F.col("word").rlike(FOREIGN)
+    first = Counts(scratch.write(_train(words), "grams0"))
+    clean = scratch.write(first.over(words.where(foreign & ~F.contains("word", F.lit(LOST))), candidates, _clean, "word string, n long", WORDS_SCORED), "clean")
+    model = Counts(scratch.write(_train(words.where(~foreign).unionByName(clean)), "grams"))
+    tried = lambda w: {t for x in [w, *garbled(w)] for t in candidates(x)}
+    gains = scratch.write(model.over(clean, tried, _gains, "restored boolean, gain double", WORDS_GARBLED), "gains")
+    return model, validated_margin(gains)
 
 
-def restored_text(text: str, model: Model, margin: float, known: dict[str, str]) -> str | None:
+def restored_text(text: str, model: Model | Counts, margin: float, known: dict[str, str]) -> str | None:
     """The whole original text, '' if characters are lost for good, None if nothing is garbled."""
     if LOST in text:
         return ""
@@ -263,12 +337,34 @@ def restored_text(text: str, model: Model, margin: float, known: dict[str, str])
     return None if whole == text else whole
 
 
+def _restored_by_word(special: DataFrame, model: Counts, margin: float, scratch: Scratch) -> DataFrame:
+    """``restored_text`` of all texts as joins: every distinct word is scored once, its texts are put together, cells find their text."""
+    lost = F.contains("text", F.lit(LOST))
+    texts = special.where(~lost).select("text").distinct()
+    pieces = texts.select("text", F.explode(F.array_distinct(F.split("text", " "))).alias("piece")).where(F.col("piece").rlike(FOREIGN))
+
+    def fix(words: pd.DataFrame, model: Model) -> pd.DataFrame:
+        rows = [(w, other) for w in words["word"] for other, gain in [model.best(w)] if gain > margin]
+        return pd.DataFrame(rows, columns=["word", "fixed"])
+
+    words = scratch.write(pieces.select(F.col("piece").alias("word")).distinct(), "pieces")
+    fixes = scratch.write(model.over(words, candidates, fix, "word string, fixed string", WORDS_SCORED), "fixes")
+    known = join_unique(pieces, "piece", fixes, "word").where("fixed is not null").groupBy("text").agg(F.map_from_entries(F.collect_list(F.struct("piece", "fixed"))).alias("known"))
+    whole = F.array_join(F.transform(F.split("text", " "), lambda w: F.coalesce(F.try_element_at("known", w), w)), " ")
+    put = scratch.write(known.select(F.col("text").alias("found"), whole.alias("restored")), "restored")
+    gone = special.where(lost).withColumn("restored", F.lit(""))
+    return join_unique(special.where(~lost), "text", put, "found").where("restored != text").drop("found").unionByName(gone).drop("text")
+
+
 def restore(tables: DataFrame) -> DataFrame:
     """table_id, row_no, col_no, restored: one row per affected cell or heading."""
     scratch = Scratch(tables.sparkSession, "encoding")
     cells = cells_of(tables)
     model, margin = fit(cells, scratch)
-    shared = tables.sparkSession.sparkContext.broadcast(model)
+    special = cells.where(F.col("text").rlike(FOREIGN))
+    if model.shared is None:
+        return _restored_by_word(special, model, margin, scratch)
+    shared = model.shared
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, str] = {}
@@ -278,6 +374,5 @@ def restore(tables: DataFrame) -> DataFrame:
             if len(found):
                 yield found
 
-    special = cells.where(F.col("text").rlike(r"[\x{80}-\x{10FFFF}]"))
     kind = dict(tables.dtypes)["table_id"]
     return special.mapInPandas(run, f"table_id {kind}, row_no int, col_no int, restored string")

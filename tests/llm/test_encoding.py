@@ -44,3 +44,35 @@ def test_table_cases(spark):
     got = [tuple(r) for r in E.restore(spark.createDataFrame(rows, TABLE)).collect()]
     assert got == [(3, -1, -1, "")]
     assert E.restore(spark.createDataFrame([], TABLE)).count() == 0
+
+
+def test_no_gram_and_no_clean_word_is_left_out(spark, sf, fitted, monkeypatch):
+    """A model that is not held whole restores as one that is, and all clean words set the margin."""
+    d = table(spark, sf.replace("0.001", "0.01"), "extracted_tables")
+    near = sorted(map(tuple, E.restore(d).collect()))
+    for bound, value in {"MOST_GRAMS": 100, "VALIDATION_WORDS": 3, "MOST_GAINS": 100, "WORDS_SCORED": 50, "WORDS_GARBLED": 7}.items():
+        monkeypatch.setattr(E, bound, value, raising=False)
+    far = sorted(map(tuple, E.restore(d).collect()))
+    assert near and far == near
+    scratch = Scratch(spark, "test-encoding-far")
+    model, margin = E.fit(E.cells_of(d), scratch)
+    assert margin == fitted[1]
+    for word in ("fÃ¼r", "für", "plain"):
+        assert model.best(word) == fitted[0].best(word)
+    clean = [r["word"] for r in spark.read.parquet(f"{scratch.root}/clean").collect()]
+    gains = [fitted[0].best(w)[1] for w in clean]
+    back = sorted(got[1] for w in clean for _, _, garble in E.CHAINS if (bad := garble(w)) and bad != w and (got := fitted[0].best(bad))[0] == w)
+    assert len(clean) > 3 and margin == pytest.approx(max(E.FIRST_MARGIN, (max(gains) + back[len(back) // 200]) / 2))
+
+
+def test_table_cases_of_a_large_model(spark, monkeypatch):
+    monkeypatch.setattr(E, "MOST_GRAMS", 0)
+    test_table_cases(spark)
+
+
+def test_smallest_gain(spark, monkeypatch):
+    values = [((i * 37) % 211) ** 2 / 7 - 50 for i in range(1000)] + [3.5] * 40
+    gains = spark.createDataFrame([(x,) for x in values], "gain double")
+    for bound in (5, 10_000):
+        monkeypatch.setattr(E, "MOST_GAINS", bound)
+        assert [E._smallest(gains, k) for k in (0, 5, 517, 1039)] == [sorted(values)[k] for k in (0, 5, 517, 1039)]
